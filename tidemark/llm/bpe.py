@@ -25,9 +25,10 @@ NO_RANK = (1 << 31) - 1
 #: Longer words are merged with a heap in the Arrow stage: the fold takes time with the square of the length.
 FOLD_BYTES = 48
 #: Text whose distinct words make one row for the fold.
-CHUNK_BYTES = 16 << 20
-#: Bounds of the cache of frequent words.  It saves folding them in every chunk and changes no result.
-CACHE_DOCS, CACHE_WORDS = 4000, 150_000
+CHUNK_BYTES = 32 << 20
+#: Bounds of the cache of frequent words: documents looked at, characters of each, and words.
+#: It saves folding these words in every chunk and changes no result.
+CACHE_DOCS, CACHE_CHARS, CACHE_WORDS = 6000, 20_000, 250_000
 
 INTS = "array<int>"
 
@@ -57,32 +58,34 @@ def _encoder(table: Column) -> Callable[[Column], Column]:
         bucket = F.get(table, F.crc32(key).bitwiseAND(BUCKETS - 1).cast("int"))
         return F.coalesce(F.get(F.filter(bucket, lambda e: e["k"] == key), F.lit(0))["r"], F.lit(NO_RANK))
 
-    def step(state: Column) -> Column:
-        """Merge the first of the adjacent pairs with the least rank; ranks of its two neighbours change."""
-        parts, ranks = state["parts"], state["ranks"]
+    def part(data: Column, with_next: Column) -> Column:
+        return F.struct(data.alias("part"), with_next.alias("rank"))
+
+    def step(parts: Column) -> Column:
+        """Merge the first of the adjacent pairs with the least rank; the ranks before and at it change.
+
+        A null part before the first and the end of the array have no rank with a neighbour.
+        """
 
         def at(p: Column) -> Column:  # the place of the pair, from 1
             def put(merged: Column) -> Column:
-                left = F.when(p > 1, F.array(rank(F.concat(F.get(parts, p - 2), merged)))).otherwise(F.array().cast(INTS))
-                right = F.when(p < F.size(ranks), F.array(rank(F.concat(merged, F.get(parts, p + 1))))).otherwise(F.array().cast(INTS))
-                return F.struct(
-                    F.concat(F.slice(parts, F.lit(1), p - 1), F.array(merged), F.slice(parts, p + 2, F.size(parts))).alias("parts"),
-                    F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(ranks, p + 2, F.size(parts))).alias("ranks"),
-                )
+                left = let(F.get(parts, p - 2)["part"], lambda x: part(x, rank(F.concat(x, merged))))
+                right = part(merged, rank(F.concat(merged, F.get(parts, p + 1)["part"])))
+                return F.concat(F.slice(parts, F.lit(1), p - 2), F.array(left, right), F.slice(parts, p + 2, F.lit(2 * FOLD_BYTES)))
 
-            return let(F.concat(F.get(parts, p - 1), F.get(parts, p)), put)
+            pair = F.concat(F.get(parts, p - 1)["part"], F.get(parts, p)["part"])
+            return F.when(F.get(parts, p - 1)["rank"] == NO_RANK, parts).otherwise(let(pair, put))
 
-        return let(F.array_min(ranks), lambda least: F.when(F.coalesce(least, F.lit(NO_RANK)) == NO_RANK, state).otherwise(let(F.array_position(ranks, least).cast("int"), at)))
+        return let(F.array_position(parts["rank"], F.array_min(parts["rank"])).cast("int"), at)
 
     def fold(word: Column) -> Column:
-        n = F.octet_length(word)
-
-        def start(parts: Column) -> Column:
-            pairs = F.transform(F.sequence(F.lit(0), n - 2), lambda i: rank(F.concat(F.get(parts, i), F.get(parts, i + 1))))
-            first = F.struct(parts.alias("parts"), pairs.alias("ranks"))
-            return F.aggregate(F.sequence(F.lit(1), n - 1), first, lambda s, _: step(s), lambda s: F.transform(s["parts"], rank))
+        def folded(n: Column) -> Column:
+            byte = lambda i: F.substring(word, i, F.lit(1))
+            pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: part(byte(i), rank(F.substring(word, i, F.lit(2)))))
+            first = F.concat(F.array(part(F.lit(None).cast("binary"), F.lit(NO_RANK))), pairs, F.array(part(byte(n), F.lit(NO_RANK))))
+            return F.aggregate(F.sequence(F.lit(2), n), first, lambda s, _: step(s), lambda s: F.transform(F.slice(s["part"], F.lit(2), F.lit(2 * FOLD_BYTES)), rank))
 
-        return let(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1))), start)
+        return let(F.octet_length(word), folded)
 
     def encode(word: Column) -> Column:
         whole = lambda r: F.when(r != NO_RANK, F.array(r)).when(F.octet_length(word) < 2, F.array().cast(INTS)).otherwise(fold(word))
@@ -131,10 +134,18 @@ def merge_with_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Indexed(dict):
-    """Word -> index, given out in the order of first asking."""
+    """Word -> index: that in ``known``, else new ones in the order of first asking."""
+
+    def __init__(self, known: dict[str, int]):
+        super().__init__()
+        self.known, self.new = known, []
 
     def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
+        n = self.known.get(word)
+        if n is None:
+            n = len(self.known) + len(self.new)
+            self.new.append(word)
+        self[word] = n
         return n
 
 
@@ -153,19 +164,15 @@ def _gather(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> np.nda
 
 def _frequent_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Frequent words of a bounded sample with their ids (flat, and offsets)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen = regex.compile(pattern).findall, Counter()
-        for batch in batches:
-            for text in batch.column("text"):
-                seen.update(find(text.as_py() or ""))
-        yield pa.RecordBatch.from_pydict({"word": pa.array(seen.keys(), pa.string()), "n": pa.array(seen.values(), pa.int64())})
-
-    words = docs.select("text").limit(CACHE_DOCS).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    short = words.where(F.octet_length("word") <= FOLD_BYTES).orderBy(F.desc("n"), "word").limit(CACHE_WORDS)
-    rows = short.groupBy(F.pmod(F.xxhash64("word"), F.lit(64))).agg(F.collect_list("word").alias("words"))
-    got = rows.select("words", encode_words(F.transform("words", lambda w: F.encode(w, "UTF-8")), ranks).alias("ids")).collect()  # CACHE_WORDS at most
-    words = [w for r in got for w in r["words"]]
+    find, seen = regex.compile(pattern).findall, Counter()
+    for row in docs.where("text is not null").select(F.substring("text", 1, CACHE_CHARS)).take(CACHE_DOCS):
+        seen.update(find(row[0]))
+    words = [w for w, _ in seen.most_common(CACHE_WORDS) if len(w.encode()) <= FOLD_BYTES]
+    if not words:
+        return [], np.zeros(0, np.int32), np.zeros(1, np.int64)
+    spark, n = docs.sparkSession, 8192
+    rows = spark.createDataFrame([([w.encode() for w in words[i : i + n]], i) for i in range(0, len(words), n)], "words array<binary>, at int")
+    got = sorted(rows.select("at", encode_words(F.col("words"), ranks).alias("ids")).collect())  # CACHE_WORDS at most
     ids = [i for r in got for i in r["ids"]]
     return words, np.array([x for i in ids for x in i], np.int32), np.cumsum([0, *map(len, ids)])
 
@@ -193,7 +200,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, digests: bo
         for batch in slices(batches, "text", CHUNK_BYTES):
             index = _Indexed(known)
             refs = [np.fromiter(map(index.__getitem__, find(text.as_py() or "")), np.int32).tobytes() for text in batch.column("text")]
-            words = [w.encode() for w in list(index)[len(known) :]]
+            words = [w.encode() for w in index.new]
             long = [(i, merge_with_heap(w, merged)) for i, w in enumerate(words) if len(w) > FOLD_BYTES]
             for i, _ in long:
                 words[i] = b""
