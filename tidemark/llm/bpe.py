@@ -25,7 +25,7 @@ NO_RANK = (1 << 31) - 1
 #: Longer words are merged with a heap in the Arrow stage: the fold takes time with the square of the length.
 FOLD_BYTES = 48
 #: Text whose distinct words make one row for the fold.
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 12 << 20
 #: Bounds of the cache of frequent words: documents looked at, characters of each, and words.
 #: It saves folding these words in every chunk and changes no result.
 CACHE_DOCS, CACHE_CHARS, CACHE_WORDS = 6000, 20_000, 250_000
@@ -192,10 +192,11 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, digests: bo
     ranks = read_ranks(ranks_path)
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    cache_ = spark.sparkContext.broadcast(_frequent_words(texts, ranks, pattern))  # of CACHE_WORDS words at most
+    frequent, *ids_of = _frequent_words(texts, ranks, pattern)
+    words_, ids_ = (spark.sparkContext.broadcast(x) for x in (frequent, ids_of))  # CACHE_WORDS at most
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, known = regex.compile(pattern).findall, {w: i for i, w in enumerate(cache_.value[0])}
+        find, known = regex.compile(pattern).findall, {w: i for i, w in enumerate(words_.value)}
         merged = read_ranks(ranks_path)
         for batch in slices(batches, "text", CHUNK_BYTES):
             index = _Indexed(known)
@@ -204,6 +205,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, digests: bo
             long = [(i, merge_with_heap(w, merged)) for i, w in enumerate(words) if len(w) > FOLD_BYTES]
             for i, _ in long:
                 words[i] = b""
+            del index
             yield pa.RecordBatch.from_pydict(
                 {
                     "words": pa.array([words], pa.list_(pa.binary())),
@@ -215,7 +217,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, digests: bo
             )
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, flat0, offsets0 = cache_.value
+        flat0, offsets0 = ids_.value
         pieces = sorted(read_ranks(ranks_path).items(), key=lambda x: x[1])
         table = np.frombuffer(b"".join(p for p, _ in pieces), np.uint8)
         bounds = np.zeros(pieces[-1][1] + 2, np.int64)
