@@ -17,15 +17,15 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import let, slices
+from tidemark.llm.common import let, small_batches
 
 #: Buckets of the literal rank map; a byte string's bucket is its CRC-32 modulo this.
 BUCKETS = 1 << 16
 NO_RANK = (1 << 31) - 1
 #: Longer words are merged with a heap in the Arrow stage: the fold takes time with the square of the length.
 FOLD_BYTES = 48
-#: Text whose distinct words make one row for the fold.
-CHUNK_BYTES = 12 << 20
+#: Characters of text whose distinct words make one row for the fold.
+CHUNK_CHARS = 12 << 20
 #: Bounds of the cache of frequent words: documents looked at, characters of each, and words.
 #: It saves folding these words in every chunk and changes no result.
 CACHE_DOCS, CACHE_CHARS, CACHE_WORDS = 6000, 20_000, 250_000
@@ -181,7 +181,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, digests: bo
     """Token ids of every whole text, without special tokens; with ``digests`` counts and hashes in their place.
 
     Three narrow steps without a shuffle.  Texts are cut into words by ``pattern``; the
-    distinct words of each ``CHUNK_BYTES`` of text become one row, whose words the
+    distinct words of each ``CHUNK_CHARS`` of text become one row, whose words the
     merges are folded over with higher-order functions and a literal rank map; then ids
     are put back in the order of the words.  Words over ``FOLD_BYTES`` are merged with a
     heap.  Ids of frequent words come from a cache of fixed size, folded once.
@@ -195,12 +195,27 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, digests: bo
     frequent, *ids_of = _frequent_words(texts, ranks, pattern)
     words_, ids_ = (spark.sparkContext.broadcast(x) for x in (frequent, ids_of))  # CACHE_WORDS at most
 
+    def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str]]]:
+        ids, texts, held = [], [], 0
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                texts.append(text.as_py() or "")
+                ids.append(doc_id)
+                held += len(texts[-1])
+                if held >= CHUNK_CHARS:
+                    yield ids, texts
+                    ids, texts, held = [], [], 0
+        if ids:
+            yield ids, texts
+
+    small_batches(spark)
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, known = regex.compile(pattern).findall, {w: i for i, w in enumerate(words_.value)}
         merged = read_ranks(ranks_path)
-        for batch in slices(batches, "text", CHUNK_BYTES):
+        for doc_ids, texts in chunks_of(batches):
             index = _Indexed(known)
-            refs = [np.fromiter(map(index.__getitem__, find(text.as_py() or "")), np.int32).tobytes() for text in batch.column("text")]
+            refs = [np.fromiter(map(index.__getitem__, find(text)), np.int32).tobytes() for text in texts]
             words = [w.encode() for w in index.new]
             long = [(i, merge_with_heap(w, merged)) for i, w in enumerate(words) if len(w) > FOLD_BYTES]
             for i, _ in long:
@@ -211,7 +226,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, digests: bo
                     "words": pa.array([words], pa.list_(pa.binary())),
                     "long_at": pa.array([[i for i, _ in long]], pa.list_(pa.int32())),
                     "long_ids": pa.array([[x for _, x in long]], pa.list_(pa.list_(pa.int32()))),
-                    "doc_id": pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
+                    "doc_id": pa.array([doc_ids], pa.list_(pa.int64())),
                     "refs": pa.array([refs], pa.list_(pa.binary())),
                 }
             )

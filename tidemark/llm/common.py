@@ -19,6 +19,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Keep Arrow batches of texts small; both ends of the pipe hold one at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches where the text in ``column`` passes ``max_bytes``; one long text stays whole."""
     for batch in batches:
