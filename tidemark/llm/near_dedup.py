@@ -18,6 +18,7 @@ from tidemark.session import discard, materialize
 #: 32 bands of 4 registers: two texts at a similarity of 0.8 share no band with probability 5e-8.
 BANDS, ROWS = 32, 4
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_WRAP = (1 << 64) - 1
 
 
 def bag_minhash(sets: list[np.ndarray], m: int = BANDS * ROWS) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
@@ -42,7 +43,7 @@ def bag_minhash(sets: list[np.ndarray], m: int = BANDS * ROWS) -> tuple[np.ndarr
     low = 1
     while (more := weight > low).any():  # the part (low, 2 low]
         doc, key, weight = doc[more], key[more], weight[more]
-        parts.append((doc, mix(key + np.uint64(low) * GOLDEN), weight, np.full(len(doc), low), np.full(len(doc), float(low))))
+        parts.append((doc, mix(key + np.uint64(low * int(GOLDEN) & _WRAP)), weight, np.full(len(doc), low), np.full(len(doc), float(low))))
         low *= 2
     doc, state, weight, base, rate = (np.concatenate(x) for x in zip(*parts, strict=True))
     time = np.zeros(len(doc))
@@ -95,10 +96,28 @@ def _bags(texts: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
             bags = [np.unique(s, return_counts=True) for s in shingles(words_of(batch.column("text")), k)]
-            cols = [pa.array([h.tobytes() for h, _ in bags], pa.binary()), pa.array([c.astype(np.uint32).tobytes() for _, c in bags], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), *cols], names=["node", "hashes", "counts"])
+            cols = [pa.array([h.tobytes() for h, _ in bags], pa.binary()), pa.array([c.astype(np.uint32).tobytes() for _, c in bags], pa.binary()), pa.array([int(c.sum()) for _, c in bags], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *cols], names=["node", "hashes", "counts", "size"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, hashes binary, counts binary")
+    return texts.select("node", "text").mapInArrow(run, "node long, hashes binary, counts binary, size long")
+
+
+def _shared_weight(bags: DataFrame) -> DataFrame:
+    """``size`` of each node's multiset and ``shared``, the part of it in shingles that another node has too.
+
+    Two nodes have no more than the lesser ``shared`` in common, which bounds their similarity.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, h, c in zip(*(batch.column(x) for x in ("node", "hashes", "counts")), strict=True):
+                hashes, counts = np.frombuffer(h.as_buffer(), np.int64), np.frombuffer(c.as_buffer(), np.uint32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), node.as_py())), pa.array(hashes), pa.array(counts.astype(np.int64))], names=["node", "hash", "n"])
+
+    entries = bags.select("node", "hashes", "counts").mapInArrow(run, "node long, hash long, n long")
+    alone = entries.groupBy("hash").agg(F.count("*").alias("nodes"), F.min("node").alias("node"), F.sum("n").alias("n")).where("nodes = 1")
+    own = alone.groupBy("node").agg(F.sum("n").alias("own"))
+    return bags.select("node", "size").join(own, "node", "left").select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared"))
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -119,7 +138,7 @@ def _verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame
             yield batch.select(["u", "v"]).filter(keep)
 
     other = bags.select(F.col("node").alias("v"), F.col("hashes").alias("hashes2"), F.col("counts").alias("counts2"))
-    both = pairs.join(bags.withColumnRenamed("node", "u"), "u").join(other, "v")
+    both = pairs.join(bags.drop("size").withColumnRenamed("node", "u"), "u").join(other, "v")
     return both.select("u", "v", "hashes", "counts", "hashes2", "counts2").mapInArrow(run, "u long, v long")
 
 
@@ -130,12 +149,14 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, id_col
     Jaccard similarity of at least ``similarity``; classes are the components of links.
 
     Equal texts become one node first.  Nodes that share a band of their BagMinHash
-    signatures meet in a bucket.  In each round the first few nodes of a bucket are
-    compared with its other nodes, unless one class holds both already, and then leave
-    the bucket; the number grows fourfold by round.  Copies of one text are one class
-    after the first round, so buckets of any size cost a few comparisons for each node,
-    and yet every pair in a bucket is either compared or known to be linked.  Comparison is exact, on
-    multisets of 64-bit shingle hashes.
+    signatures meet in a bucket.  What a node shares with any other at all bounds its
+    similarity to each (``_shared_weight``): nodes and pairs whose bound is too low are
+    done.  In each round the first few nodes of a bucket are compared with its others,
+    unless one class holds both already, and then leave the bucket; the number grows
+    fourfold by round.  Nodes that share most come first, as the text does that others
+    are edited from, so a bucket of any size is one class after a few comparisons for
+    each node; yet every pair in it is compared, or bounded, or known to be of one
+    class.  Comparison is exact, on multisets of 64-bit shingle hashes.
 
     A text of fewer words is one shingle.  Texts without words are linked to equal ones
     only, null texts to none.  Rows with one id stand for themselves by their texts.
@@ -154,20 +175,30 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, id_col
     texts = own.where("text is not null").withColumn("same", F.unhex(F.md5(F.encode("text", "UTF-8")))).join(wanted, ["doc_id", "same"]).dropDuplicates(["doc_id", "same"])
     bags = materialize(_bags(texts, k), "bags")
 
+    weights = materialize(_shared_weight(bags), "weights")
+    least = similarity / (1 + similarity)  # of both sizes together must be in common
+    linkable = weights.where(F.col("shared") >= similarity * F.col("size") - 1e-9)
+    start = materialize(buckets.join(linkable, "node"), "buckets")
+    discard(buckets, weights)
+    buckets = start
+
     labels = nodes.select("node", F.col("node").alias("label")).limit(0)
-    edges, made = None, []
+    edges = None
     width = 1
+    columns = ["key", "node", "size", "shared"]
     while True:
-        labelled = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+        labelled = buckets.join(labels, "node", "left").select(*columns, F.coalesce("label", "node").alias("label"))
         open_keys = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
-        left = materialize(labelled.join(open_keys, "key").select("key", "node", "label", F.row_number().over(W.partitionBy("key").orderBy("node")).alias("place")), "buckets")
+        order = W.partitionBy("key").orderBy(F.desc(F.col("shared") / F.col("size")), "node")
+        left = materialize(labelled.join(open_keys, "key").select(*columns, "label", F.row_number().over(order).alias("place")), "buckets")
         discard(buckets)
-        first = left.where(F.col("place") <= width).select("key", F.col("node").alias("v"), F.col("label").alias("label2"), F.col("place").alias("place2"))
-        pairs = left.join(first, "key").where("place > place2 and label <> label2").select(F.col("node").alias("u"), "v").distinct()
+        first = left.where(F.col("place") <= width).select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "size", "shared", "label", "place")])
+        enough = F.least("shared", "shared2") >= least * (F.col("size") + F.col("size2")) - 1e-9
+        met = left.join(first, (left["key"] == first["key"]) & (F.col("place") > F.col("place2")) & (F.col("label") != F.col("label2")) & enough)
+        pairs = met.select(F.col("node").alias("u"), F.col("node2").alias("v")).distinct()
         found = materialize(_verified(pairs, bags, similarity), "links")
-        buckets = materialize(left.where(F.col("place") > width).select("key", "node"), "buckets")
+        buckets = materialize(left.where(F.col("place") > width).select(*columns), "buckets")
         discard(left)
-        made.append(found)
         edges = found if edges is None else edges.unionByName(found)
         if not found.isEmpty():
             labels = materialize(components(edges), "labels")
