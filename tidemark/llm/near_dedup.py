@@ -81,7 +81,7 @@ def _signed(docs: DataFrame, k: int) -> DataFrame:
     """For every text the hash of its bytes and the keys of its bands (null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 19):
             sets = shingles(words_of(batch.column("text")), k)
             keys = band_keys(bag_minhash(sets)[0])
             bands = pa.array([list(x) if len(s) else None for x, s in zip(keys, sets, strict=True)], pa.list_(pa.int64()))
@@ -94,7 +94,7 @@ def _bags(texts: DataFrame, k: int) -> DataFrame:
     """Sorted distinct shingle hashes of each node, and their multiplicities, as packed arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 19):
             bags = [np.unique(s, return_counts=True) for s in shingles(words_of(batch.column("text")), k)]
             cols = [pa.array([h.tobytes() for h, _ in bags], pa.binary()), pa.array([c.astype(np.uint32).tobytes() for _, c in bags], pa.binary()), pa.array([int(c.sum()) for _, c in bags], pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column("node"), *cols], names=["node", "hashes", "counts", "size"])

@@ -85,7 +85,7 @@ def _profiles(docs: DataFrame, length: int) -> DataFrame:
     """For every text its size, the hashes of its bytes, and its window runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             data, offsets = _bytes_of(batch.column("text"))
             runs = window_runs(data, offsets, length)
             flat = [np.concatenate(x) for x in zip(*runs, strict=True)]
