@@ -129,7 +129,7 @@ def delete_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     gone = _deletions(docs, id_col, text_col, min_lines, min_words)
     left = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("copy"))
-    both = left.join(gone, ["doc_id", "copy"], "left")
+    both = left.join(gone.hint("merge"), ["doc_id", "copy"], "left")  # texts move alike at any size
     text = F.when(F.col("gone").isNull(), F.col("row")[text_col]).otherwise(_without(F.col("row")[text_col], F.col("gone")))
     cols = [text.alias(c) if c == text_col else F.char_length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns]
     return both.select(*cols)
@@ -140,7 +140,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = _deletions(docs, id_col, text_col, min_lines, min_words)
     text = F.coalesce(F.col(text_col), F.lit(""))
     left = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("copy"), text.alias("text"))
-    both = left.join(gone, ["doc_id", "copy"], "left")
+    both = left.join(gone.hint("merge"), ["doc_id", "copy"], "left")  # texts move alike at any size
     starts = F.filter(F.transform("gone", lambda g, i: F.when((i == 0) | (F.get("gone", i - 1) != g - 1), i)), lambda i: i.isNotNull())
     ends = lambda s: F.transform(s, lambda v, i: F.coalesce(F.get(s, i + 1), F.size("gone")) - v)
     return both.select(
