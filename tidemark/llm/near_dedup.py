@@ -109,10 +109,11 @@ def _shared_weight(bags: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, h, c in zip(*(batch.column(x) for x in ("node", "hashes", "counts")), strict=True):
-                hashes, counts = np.frombuffer(h.as_buffer(), np.int64), np.frombuffer(c.as_buffer(), np.uint32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), node.as_py())), pa.array(hashes), pa.array(counts.astype(np.int64))], names=["node", "hash", "n"])
+        for batch in batches:  # one batch out for each in: many small ones cost the JVM memory outside its heap
+            hashes = [np.frombuffer(h.as_buffer(), np.int64) for h in batch.column("hashes")]
+            counts = [np.frombuffer(c.as_buffer(), np.uint32) for c in batch.column("counts")]
+            nodes = np.repeat(batch.column("node").to_numpy(), [len(h) for h in hashes])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(counts).astype(np.int64))], names=["node", "hash", "n"])
 
     entries = bags.select("node", "hashes", "counts").mapInArrow(run, "node long, hash long, n long")
     alone = entries.groupBy("hash").agg(F.count("*").alias("nodes"), F.min("node").alias("node"), F.sum("n").alias("n")).where("nodes = 1")
