@@ -22,6 +22,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep Arrow batches of texts small; both ends of the pipe hold one at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:

@@ -105,17 +105,16 @@ def _windows(texts: DataFrame, length: int) -> DataFrame:
     """Hashes of the single windows of the runs in ``needed``, with the anchor and weight of their run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text", 1 << 18):
+            parts: list[list[np.ndarray]] = [[] for _ in range(5)]
             for i in range(batch.num_rows):
-                data = np.frombuffer(batch.column("text")[i].as_py().encode(), np.uint8)
-                sums = _sums(data)
-                needed = batch.column("needed")[i].values.flatten()
-                start, n, anchor, weight = (x.to_numpy() for x in needed)
+                sums = _sums(np.frombuffer(batch.column("text")[i].as_py().encode(), np.uint8))
+                start, n, anchor, weight = (x.to_numpy() for x in batch.column("needed")[i].values.flatten())
                 at = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
                 node = np.full(len(at), batch.column("node")[i].as_py(), np.int64)
-                hashes = _hashes(sums, at, at + length).view(np.int64)
-                cols = [pa.array(node), pa.array(at.astype(np.int32)), pa.array(np.repeat(anchor, n)), pa.array(hashes), pa.array(np.repeat(weight, n))]
-                yield pa.RecordBatch.from_arrays(cols, names=["node", "start", "anchor", "hash", "weight"])
+                for part, x in zip(parts, (node, at.astype(np.int32), np.repeat(anchor, n), _hashes(sums, at, at + length).view(np.int64), np.repeat(weight, n)), strict=True):
+                    part.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], names=["node", "start", "anchor", "hash", "weight"])
 
     return texts.mapInArrow(run, "node long, start int, anchor long, hash long, weight int")
 
