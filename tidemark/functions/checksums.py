@@ -7,6 +7,7 @@ import zlib
 import pandas as pd
 import zstandard
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def crc32c_table() -> list[int]:
@@ -29,19 +30,19 @@ def crc32c_bytes(data: bytes) -> int:
     return crc ^ 0xFFFFFFFF
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def crc32c(data: pd.Series) -> pd.Series:
     """CRC-32C of each binary; null for null."""
     return data.map(lambda x: None if x is None else crc32c_bytes(bytes(x))).astype("Int64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def zstd_ratio(text: pd.Series) -> pd.Series:
     """How many times smaller zstd makes each text."""
     pack = zstandard.ZstdCompressor(level=3)
     return text.map(lambda x: None if not x else len(x.encode()) / max(1, len(pack.compress(x.encode()))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def deflate_ratio(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if not x else len(x.encode()) / max(1, len(zlib.compress(x.encode()))))

@@ -261,7 +261,7 @@ def zscore_pass1(spark, d):
 
 TWO = PASS1.rstrip() + """, lists AS (SELECT "table", device_id, list({'seq': seq, 'v': value, 'f': flagged} ORDER BY ts, seq) AS l FROM flagged GROUP BY 1, 2),
  folded AS (SELECT "table", device_id, list_reduce(list_transform(l, lambda e: {'clean': CAST([] AS DOUBLE[]), 'out': [{'seq': e.seq, 'v': e.v, 'f': e.f}]}), lambda a, e:
- {'clean': CASE WHEN (e.out[1].f OR (len(a.clean) >= 3 AND CASE WHEN list_stddev_pop(a.clean) = 0 THEN e.out[1].v <> list_avg(a.clean) ELSE abs(e.out[1].v - list_avg(a.clean)) > 3 * list_stddev_pop(a.clean) END)) THEN a.clean ELSE list_slice(list_append(a.clean, e.out[1].v), -10, NULL) END,
+ {'clean': CASE WHEN (e.out[1].f OR (len(a.clean) >= 3 AND CASE WHEN list_stddev_pop(a.clean) = 0 THEN e.out[1].v <> list_avg(a.clean) ELSE abs(e.out[1].v - list_avg(a.clean)) > 3 * list_stddev_pop(a.clean) END)) THEN a.clean ELSE (list_append(a.clean, e.out[1].v))[-10:] END,
  'out': list_append(a.out, {'seq': e.out[1].seq, 'v': e.out[1].v, 'f': e.out[1].f OR (len(a.clean) >= 3 AND CASE WHEN list_stddev_pop(a.clean) = 0 THEN e.out[1].v <> list_avg(a.clean) ELSE abs(e.out[1].v - list_avg(a.clean)) > 3 * list_stddev_pop(a.clean) END)})},
  {'clean': CAST([] AS DOUBLE[]), 'out': CAST([] AS STRUCT(seq BIGINT, v DOUBLE, f BOOLEAN)[])}) AS r FROM lists),
  final AS (SELECT "table", device_id, unnest(r.out) AS o FROM folded) """
