@@ -15,8 +15,9 @@ from tidemark.llm.components import components
 from tidemark.llm.words import mix, shingles, words_of
 from tidemark.session import discard, materialize
 
-#: 32 bands of 4 registers: two texts at a similarity of 0.8 share no band with probability 5e-8.
-BANDS, ROWS = 32, 4
+#: 32 bands of 4 registers, of which candidates share 4 at least: two texts at a similarity of
+#: 0.8 share fewer with a probability of 1e-4, at 0.85 of 1e-7.
+BANDS, ROWS, COMMON = 32, 4, 4
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _WRAP = (1 << 64) - 1
 
@@ -128,6 +129,11 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return least / most if most else 0.0
 
 
+def _short(key):
+    """32 bits of a band's key, by which common bands are counted."""
+    return F.shiftright(key, 32).cast("int")
+
+
 def _verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) whose multisets overlap enough."""
 
@@ -157,7 +163,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, id_col
     fourfold by round.  Nodes that share most come first, as the text does that others
     are edited from, so a bucket of any size is one class after a few comparisons for
     each node; yet every pair in it is compared, or bounded, or known to be of one
-    class.  Comparison is exact, on multisets of 64-bit shingle hashes.
+    class.  A pair with ``COMMON`` bands at least is met in the first of them only.  Comparison is exact, on multisets of 64-bit shingle hashes.
 
     A text of fewer words is one shingle.  Texts without words are linked to equal ones
     only, null texts to none.  Rows with one id stand for themselves by their texts.
@@ -178,7 +184,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, id_col
 
     weights = materialize(_shared_weight(bags), "weights")
     least = similarity / (1 + similarity)  # of both sizes together must be in common
-    linkable = weights.where(F.col("shared") >= similarity * F.col("size") - 1e-9)
+    short = nodes.select("node", F.transform("bands", _short).alias("bands"))
+    linkable = weights.where(F.col("shared") >= similarity * F.col("size") - 1e-9).join(short, "node")
     start = materialize(buckets.join(linkable, "node"), "buckets")
     discard(buckets, weights)
     buckets = start
@@ -186,16 +193,18 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, id_col
     labels = nodes.select("node", F.col("node").alias("label")).limit(0)
     edges = None
     width = 1
-    columns = ["key", "node", "size", "shared"]
+    columns = ["key", "node", "size", "shared", "bands"]
     while True:
         labelled = buckets.join(labels, "node", "left").select(*columns, F.coalesce("label", "node").alias("label"))
         open_keys = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
         order = W.partitionBy("key").orderBy(F.desc(F.col("shared") / F.col("size")), "node")
         left = materialize(labelled.join(open_keys, "key").select(*columns, "label", F.row_number().over(order).alias("place")), "buckets")
         discard(buckets)
-        first = left.where(F.col("place") <= width).select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "size", "shared", "label", "place")])
+        first = left.where(F.col("place") <= width).select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "size", "shared", "bands", "label", "place")])
         enough = F.least("shared", "shared2") >= least * (F.col("size") + F.col("size2")) - 1e-9
-        met = left.join(first, (left["key"] == first["key"]) & (F.col("place") > F.col("place2")) & (F.col("label") != F.col("label2")) & enough)
+        common = F.array_intersect("bands", "bands2")
+        here = (F.size(common) >= COMMON) & (F.get(common, F.lit(0)) == _short(left["key"]))
+        met = left.join(first, (left["key"] == first["key"]) & (F.col("place") > F.col("place2")) & (F.col("label") != F.col("label2")) & enough & here)
         pairs = met.select(F.col("node").alias("u"), F.col("node2").alias("v")).distinct()
         found = materialize(_verified(pairs, bags, similarity), "links")
         buckets = materialize(left.where(F.col("place") > width).select(*columns), "buckets")
