@@ -200,11 +200,11 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, id_col
         order = W.partitionBy("key").orderBy(F.desc(F.col("shared") / F.col("size")), "node")
         left = materialize(labelled.join(open_keys, "key").select(*columns, "label", F.row_number().over(order).alias("place")), "buckets")
         discard(buckets)
-        first = left.where(F.col("place") <= width).select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "size", "shared", "bands", "label", "place")])
+        first = left.where(F.col("place") <= width).select(*[F.col(c).alias(f"{c}2") for c in ("key", "node", "size", "shared", "bands", "label", "place")])
         enough = F.least("shared", "shared2") >= least * (F.col("size") + F.col("size2")) - 1e-9
         common = F.array_intersect("bands", "bands2")
-        here = (F.size(common) >= COMMON) & (F.get(common, F.lit(0)) == _short(left["key"]))
-        met = left.join(first, (left["key"] == first["key"]) & (F.col("place") > F.col("place2")) & (F.col("label") != F.col("label2")) & enough & here)
+        here = (F.size(common) >= COMMON) & (F.get(common, F.lit(0)) == _short(F.col("key")))
+        met = left.join(first, (F.col("key") == F.col("key2")) & (F.col("place") > F.col("place2")) & (F.col("label") != F.col("label2")) & enough & here)
         pairs = met.select(F.col("node").alias("u"), F.col("node2").alias("v")).distinct()
         found = materialize(_verified(pairs, bags, similarity), "links")
         buckets = materialize(left.where(F.col("place") > width).select(*columns), "buckets")
