@@ -160,7 +160,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, id_col
     similarity to each (``_shared_weight``): nodes and pairs whose bound is too low are
     done.  In each round the first few nodes of a bucket are compared with its others,
     unless one class holds both already, and then leave the bucket; the number grows
-    fourfold by round.  Nodes that share most come first, as the text does that others
+    eightfold by round.  Nodes that share most come first, as the text does that others
     are edited from, so a bucket of any size is one class after a few comparisons for
     each node; yet every pair in it is compared, or bounded, or known to be of one
     class.  A pair with ``COMMON`` bands at least is met in the first of them only.  Comparison is exact, on multisets of 64-bit shingle hashes.
@@ -214,7 +214,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, id_col
             labels = materialize(components(edges), "labels")
         if buckets.isEmpty():
             break
-        width *= 4
+        width *= 8
     discard(buckets, bags)
     member = nodes.join(labels, "node", "left").select("same", "copy_id", F.coalesce("label", "node").alias("label"))
     classes = member.groupBy("label").agg(F.min("copy_id").alias("class_id"))
