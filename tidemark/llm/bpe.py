@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import let, small_batches
+from tidemark.llm.common import let, release_memory, small_batches
 
 #: Buckets of the literal rank map; a byte string's bucket is its CRC-32 modulo this.
 BUCKETS = 1 << 16
@@ -221,6 +221,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, digests: bo
             for i, _ in long:
                 words[i] = b""
             del index
+            release_memory()
             yield pa.RecordBatch.from_pydict(
                 {
                     "words": pa.array([words], pa.list_(pa.binary())),
@@ -239,6 +240,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, digests: bo
         bounds[np.array([r for _, r in pieces]) + 1] = [len(p) for p, _ in pieces]
         bounds = np.cumsum(bounds)
         for batch in batches:
+            release_memory()
             for k in range(batch.num_rows):
                 flat, offsets = _flat(batch.column("ids").slice(k, 1).flatten())
                 flat = flat[offsets[0] : offsets[-1]]

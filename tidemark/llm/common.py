@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -25,6 +27,13 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
+def release_memory() -> None:
+    """Give freed memory back: idle Python workers stay beside the busy ones and count as well."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches where the text in ``column`` passes ``max_bytes``; one long text stays whole."""
     for batch in batches:
@@ -37,3 +46,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> It
             held += int(n)
         if start < batch.num_rows:
             yield batch.slice(start)
+        release_memory()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, small_batches
+from tidemark.llm.common import release_memory, slices, small_batches
 from tidemark.llm.components import components
 from tidemark.llm.words import mix, shingles, words_of
 from tidemark.session import discard, materialize
@@ -82,7 +82,7 @@ def _signed(docs: DataFrame, k: int) -> DataFrame:
     """For every text the hash of its bytes and the keys of its bands (null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 19):
+        for batch in slices(batches, "text", 1 << 18):
             sets = shingles(words_of(batch.column("text")), k)
             keys = band_keys(bag_minhash(sets)[0])
             bands = pa.array([list(x) if len(s) else None for x, s in zip(keys, sets, strict=True)], pa.list_(pa.int64()))
@@ -95,7 +95,7 @@ def _bags(texts: DataFrame, k: int) -> DataFrame:
     """Sorted distinct shingle hashes of each node, and their multiplicities, as packed arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 19):
+        for batch in slices(batches, "text", 1 << 18):
             bags = [np.unique(s, return_counts=True) for s in shingles(words_of(batch.column("text")), k)]
             cols = [pa.array([h.tobytes() for h, _ in bags], pa.binary()), pa.array([c.astype(np.uint32).tobytes() for _, c in bags], pa.binary()), pa.array([int(c.sum()) for _, c in bags], pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column("node"), *cols], names=["node", "hashes", "counts", "size"])
@@ -115,6 +115,8 @@ def _shared_weight(bags: DataFrame) -> DataFrame:
             counts = [np.frombuffer(c.as_buffer(), np.uint32) for c in batch.column("counts")]
             nodes = np.repeat(batch.column("node").to_numpy(), [len(h) for h in hashes])
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(counts).astype(np.int64))], names=["node", "hash", "n"])
+            del hashes, counts, nodes
+            release_memory()
 
     entries = bags.select("node", "hashes", "counts").mapInArrow(run, "node long, hash long, n long")
     alone = entries.groupBy("hash").agg(F.count("*").alias("nodes"), F.min("node").alias("node"), F.sum("n").alias("n")).where("nodes = 1")
@@ -143,6 +145,7 @@ def _verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame
             bag = lambda x, y: (np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint32))
             keep = pa.array([weighted_jaccard(bag(h[i], c[i]), bag(g[i], d[i])) >= similarity for i in range(batch.num_rows)], pa.bool_())
             yield batch.select(["u", "v"]).filter(keep)
+            release_memory()
 
     other = bags.select(F.col("node").alias("v"), F.col("hashes").alias("hashes2"), F.col("counts").alias("counts2"))
     both = pairs.join(bags.drop("size").withColumnRenamed("node", "u"), "u").join(other, "v")
