@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,9 +15,11 @@ from tidemark.llm.components import components
 from tidemark.llm.words import mix, shingles, words_of
 from tidemark.session import discard, materialize
 
-#: 32 bands of 4 registers, of which candidates share 4 at least: two texts at a similarity of
-#: 0.8 share fewer with a probability of 1e-4, at 0.85 of 1e-7.
-BANDS, ROWS, COMMON = 32, 4, 4
+#: 32 bands of 4 registers: two texts at a similarity of 0.8 share none with a probability of 5e-8.
+BANDS, ROWS = 32, 4
+#: Candidates agree in so many registers at least, compared by 4 bits of each: two texts at a
+#: similarity of 0.8 agree in fewer with a probability of 5e-5, at 0.85 of 2e-8.
+AGREE = 86
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _WRAP = (1 << 64) - 1
 
@@ -78,17 +80,34 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def packed_registers(signatures: np.ndarray) -> np.ndarray:
+    """4 bits of each register of each signature: a word holds one of the bits of 64 registers."""
+    bits = mix(signatures.view(np.uint64)).reshape(len(signatures), -1, 64)
+    at = np.arange(64, dtype=np.uint64)
+    words = [np.bitwise_or.reduce((bits >> np.uint64(63 - j) & np.uint64(1)) << at, axis=2) for j in range(4)]
+    return np.stack(words, axis=2).reshape(len(signatures), -1).view(np.int64)
+
+
+def _agreeing(a: str, b: str) -> Column:
+    """In how many registers the packed columns ``a`` and ``b`` agree."""
+    differing = F.lit(0)
+    for i in range(0, BANDS * ROWS // 16, 4):
+        x = [F.get(a, F.lit(i + j)).bitwiseXOR(F.get(b, F.lit(i + j))) for j in range(4)]
+        differing += F.bit_count(x[0].bitwiseOR(x[1]).bitwiseOR(x[2]).bitwiseOR(x[3]))
+    return F.lit(BANDS * ROWS) - differing
+
+
 def _signed(docs: DataFrame, k: int) -> DataFrame:
-    """For every text the hash of its bytes and the keys of its bands (null without words)."""
+    """For every text the hash of its bytes, the keys of its bands and its packed registers (null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 18):
             sets = shingles(words_of(batch.column("text")), k)
-            keys = band_keys(bag_minhash(sets)[0])
-            bands = pa.array([list(x) if len(s) else None for x, s in zip(keys, sets, strict=True)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("same"), bands], names=["doc_id", "same", "bands"])
+            signatures = bag_minhash(sets)[0]
+            listed = [pa.array([list(x) if len(s) else None for x, s in zip(rows, sets, strict=True)], pa.list_(pa.int64())) for rows in (band_keys(signatures), packed_registers(signatures))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("same"), *listed], names=["doc_id", "same", "bands", "registers"])
 
-    return docs.select("doc_id", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("same"), "text").mapInArrow(run, "doc_id long, same binary, bands array<bigint>")
+    return docs.select("doc_id", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("same"), "text").mapInArrow(run, "doc_id long, same binary, bands array<bigint>, registers array<bigint>")
 
 
 def _bags(texts: DataFrame, k: int) -> DataFrame:
@@ -132,7 +151,7 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 def _short(key):
-    """32 bits of a band's key, by which common bands are counted."""
+    """32 bits of a band's key, by which common bands are found."""
     return F.shiftright(key, 32).cast("int")
 
 
@@ -166,7 +185,9 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, id_col
     eightfold by round.  Nodes that share most come first, as the text does that others
     are edited from, so a bucket of any size is one class after a few comparisons for
     each node; yet every pair in it is compared, or bounded, or known to be of one
-    class.  A pair with ``COMMON`` bands at least is met in the first of them only.  Comparison is exact, on multisets of 64-bit shingle hashes.
+    class.  A pair is met in the first of its common bands only, if
+    it agrees in ``AGREE`` registers at least.  Comparison is exact, on multisets of 64-bit
+    shingle hashes.
 
     A text of fewer words is one shingle.  Texts without words are linked to equal ones
     only, null texts to none.  Rows with one id stand for themselves by their texts.
@@ -175,7 +196,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, id_col
     small_batches(docs.sparkSession, 250)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialize(_signed(own, k), "signed")
-    groups = signed.where("same is not null").groupBy("same").agg(F.min("doc_id").alias("copy_id"), F.first("bands").alias("bands"))
+    groups = signed.where("same is not null").groupBy("same").agg(F.min("doc_id").alias("copy_id"), F.first("bands").alias("bands"), F.first("registers").alias("registers"))
     nodes = materialize(groups.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     entries = nodes.where("bands is not null").select("node", F.explode("bands").alias("key"))
@@ -187,7 +208,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, id_col
 
     weights = materialize(_shared_weight(bags), "weights")
     least = similarity / (1 + similarity)  # of both sizes together must be in common
-    short = nodes.select("node", F.transform("bands", _short).alias("bands"))
+    short = nodes.select("node", F.transform("bands", _short).alias("bands"), "registers")
     linkable = weights.where(F.col("shared") >= similarity * F.col("size") - 1e-9).join(short, "node")
     start = materialize(buckets.join(linkable, "node"), "buckets")
     discard(buckets, weights)
@@ -196,18 +217,17 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, id_col
     labels = nodes.select("node", F.col("node").alias("label")).limit(0)
     edges = None
     width = 1
-    columns = ["key", "node", "size", "shared", "bands"]
+    columns = ["key", "node", "size", "shared", "bands", "registers"]
     while True:
         labelled = buckets.join(labels, "node", "left").select(*columns, F.coalesce("label", "node").alias("label"))
         open_keys = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
         order = W.partitionBy("key").orderBy(F.desc(F.col("shared") / F.col("size")), "node")
         left = materialize(labelled.join(open_keys, "key").select(*columns, "label", F.row_number().over(order).alias("place")), "buckets")
         discard(buckets)
-        first = left.where(F.col("place") <= width).select(*[F.col(c).alias(f"{c}2") for c in ("key", "node", "size", "shared", "bands", "label", "place")])
+        first = left.where(F.col("place") <= width).select(*[F.col(c).alias(f"{c}2") for c in (*columns, "label", "place")])
         enough = F.least("shared", "shared2") >= least * (F.col("size") + F.col("size2")) - 1e-9
-        common = F.array_intersect("bands", "bands2")
-        here = (F.size(common) >= COMMON) & (F.get(common, F.lit(0)) == _short(F.col("key")))
-        met = left.join(first, (F.col("key") == F.col("key2")) & (F.col("place") > F.col("place2")) & (F.col("label") != F.col("label2")) & enough & here)
+        here = F.get(F.array_intersect("bands", "bands2"), F.lit(0)) == _short(F.col("key"))
+        met = left.join(first, (F.col("key") == F.col("key2")) & (F.col("place") > F.col("place2")) & (F.col("label") != F.col("label2")) & enough & (_agreeing("registers", "registers2") >= AGREE) & here)
         pairs = met.select(F.col("node").alias("u"), F.col("node2").alias("v")).distinct()
         found = materialize(_verified(pairs, bags, similarity), "links")
         buckets = materialize(left.where(F.col("place") > width).select(*columns), "buckets")
