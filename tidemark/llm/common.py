@@ -21,6 +21,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """``df`` in no more partitions than four for each core, without a shuffle: a task takes several in turn.
+
+    For tables of a loop's rounds, which shrink: else each is as many small files as the shuffle has partitions.
+    """
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep Arrow batches of texts small; both ends of the pipe hold one at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

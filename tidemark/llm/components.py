@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import few_files
 from tidemark.session import discard, materialize
 
 
@@ -27,10 +28,10 @@ def components(edges: DataFrame) -> DataFrame:
     Steps are joins and sums on tables in the shared folder: no neighbourhood is
     collected.  The edges end as stars about the least nodes.
     """
-    state = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+    state = materialize(few_files(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()), "edges")
     mark = None
     while True:
-        new = materialize(_small_star(_large_star(state)), "edges")
+        new = materialize(few_files(_small_star(_large_star(state))), "edges")
         discard(state)
         state = new
         now = state.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import release_memory, slices, small_batches
+from tidemark.llm.common import few_files, release_memory, slices, small_batches
 from tidemark.llm.components import components
 from tidemark.llm.words import mix, shingles, words_of
 from tidemark.session import discard, materialize
@@ -197,20 +197,20 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, id_col
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialize(_signed(own, k), "signed")
     groups = signed.where("same is not null").groupBy("same").agg(F.min("doc_id").alias("copy_id"), F.first("bands").alias("bands"), F.first("registers").alias("registers"))
-    nodes = materialize(groups.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = materialize(few_files(groups.withColumn("node", F.monotonically_increasing_id())), "nodes")
 
     entries = nodes.where("bands is not null").select("node", F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = materialize(entries.join(shared, "key").select("key", "node"), "buckets")
+    buckets = materialize(few_files(entries.join(shared, "key").select("key", "node")), "buckets")
     wanted = nodes.join(buckets.select("node").distinct(), "node").select("node", "same", F.col("copy_id").alias("doc_id"))
     texts = own.where("text is not null").withColumn("same", F.unhex(F.md5(F.encode("text", "UTF-8")))).join(wanted, ["doc_id", "same"]).dropDuplicates(["doc_id", "same"])
     bags = materialize(_bags(texts, k), "bags")
 
-    weights = materialize(_shared_weight(bags), "weights")
+    weights = materialize(few_files(_shared_weight(bags)), "weights")
     least = similarity / (1 + similarity)  # of both sizes together must be in common
     short = nodes.select("node", F.transform("bands", _short).alias("bands"), "registers")
     linkable = weights.where(F.col("shared") >= similarity * F.col("size") - 1e-9).join(short, "node")
-    start = materialize(buckets.join(linkable, "node"), "buckets")
+    start = materialize(few_files(buckets.join(linkable, "node")), "buckets")
     discard(buckets, weights)
     buckets = start
 
@@ -222,19 +222,19 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, id_col
         labelled = buckets.join(labels, "node", "left").select(*columns, F.coalesce("label", "node").alias("label"))
         open_keys = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
         order = W.partitionBy("key").orderBy(F.desc(F.col("shared") / F.col("size")), "node")
-        left = materialize(labelled.join(open_keys, "key").select(*columns, "label", F.row_number().over(order).alias("place")), "buckets")
+        left = materialize(few_files(labelled.join(open_keys, "key").select(*columns, "label", F.row_number().over(order).alias("place"))), "buckets")
         discard(buckets)
         first = left.where(F.col("place") <= width).select(*[F.col(c).alias(f"{c}2") for c in (*columns, "label", "place")])
         enough = F.least("shared", "shared2") >= least * (F.col("size") + F.col("size2")) - 1e-9
         here = F.get(F.array_intersect("bands", "bands2"), F.lit(0)) == _short(F.col("key"))
         met = left.join(first, (F.col("key") == F.col("key2")) & (F.col("place") > F.col("place2")) & (F.col("label") != F.col("label2")) & enough & (_agreeing("registers", "registers2") >= AGREE) & here)
         pairs = met.select(F.col("node").alias("u"), F.col("node2").alias("v")).distinct()
-        found = materialize(_verified(pairs, bags, similarity), "links")
-        buckets = materialize(left.where(F.col("place") > width).select(*columns), "buckets")
+        found = materialize(few_files(_verified(pairs, bags, similarity)), "links")
+        buckets = materialize(few_files(left.where(F.col("place") > width).select(*columns)), "buckets")
         discard(left)
         edges = found if edges is None else edges.unionByName(found)
         if not found.isEmpty():
-            labels = materialize(components(edges), "labels")
+            labels = materialize(few_files(components(edges)), "labels")
         if buckets.isEmpty():
             break
         width *= 8
