@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import base64
+import binascii
 import bz2
 import hashlib
 import html
 import lzma
 import re
 import zlib
+from bisect import bisect
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -26,12 +28,21 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_WORDS = ("passw", "secret", "token", "api")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+#: A quoted string of bytes: URL quoting leaves letters, digits and some marks bare.
+QUOTED = re.compile(r"(?<![!-$&-~])[!-$&-~]*+(?:%[0-9A-Fa-f]{2}[!-$&-~]*+)++")
 #: Full-width forms of ASCII, and characters without width.
 WIDE = re.compile("[%c-%c]|[%c-%c%c%c%c]" % (0xFF01, 0xFF5E, 0x200B, 0x200D, 0x2060, 0xFEFF, 0xAD))
 ESCAPES = re.compile(r"(?:\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2})|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|%u[0-9A-Fa-f]{4}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&(?:amp|quot|apos|lt|gt|equals|colon);|" + WIDE.pattern)
 ESCAPE_HINTS = ("\\u", "\\U", "\\x", "%u", "&#", "&amp;", "&quot;", "&apos;", "&lt;", "&gt;", "&equals;", "&colon;")
 UNKNOWN = chr(0xFFFD)
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: 16 letters or more without a break, or letters that go on over line breaks.
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:(?:[ \t]*+(?:\r\n?|\n)[ \t]*+[A-Za-z0-9+/_-]++)++|(?<=[A-Za-z0-9+/_-]{16}))={0,2}")
+LETTERS = re.compile(r"[A-Za-z0-9+/_-]+")
+STANDARD = str.maketrans("-_", "+/")
+#: The shortest finding is ``token=`` with 8 characters; decoding makes no text longer.
+LEAST = 14
+#: First bytes of gzip, zlib, zstd, bzip2 and xz streams.
+MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd|BZh[1-9]|\xfd7zXZ\x00")
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, findings array<struct<kind:string,start:long,end:long,depth:int>>"
 ARROW = pa.schema(
@@ -52,12 +63,15 @@ def find_plain(text: str) -> list[tuple[str, int, int]]:
 
 
 class Layer:
-    """A decoded text, with the span of the original text that each of its characters came from."""
+    """A decoded text, with the span of the original text that each of its characters came from.
 
-    __slots__ = ("depth", "ends", "starts", "text")
+    ``part`` says that the text may be cut off at its ends: it is a line of a longer stretch.
+    """
+
+    __slots__ = ("depth", "ends", "part", "starts", "text")
 
-    def __init__(self, text: str, starts, ends, depth: int):
-        self.text, self.starts, self.ends, self.depth = text, starts, ends, depth
+    def __init__(self, text: str, starts, ends, depth: int, part: bool = False):
+        self.text, self.starts, self.ends, self.depth, self.part = text, starts, ends, depth, part
 
     def span(self, start: int, end: int) -> tuple[int, int]:
         return (self.starts[start], self.ends[end - 1]) if start < end else (0, 0)
@@ -77,31 +91,37 @@ def _utf8_chars(data: bytes) -> list[tuple[str, int, int]] | None:
     return out
 
 
-def _inflate(data: bytes) -> bytes | None:
-    """Contents of a gzip, zlib, zstd, bzip2 or xz stream, else None."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(47).decompress(data)
-        if data[:1] == b"\x78" and len(data) > 6 and (data[0] * 256 + data[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(data)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            return zstandard.ZstdDecompressor().decompressobj().decompress(data)
-        if data[:3] == b"BZh":
-            return bz2.decompress(data)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.decompress(data)
-    except (zlib.error, zstandard.ZstdError, OSError, ValueError, EOFError, lzma.LZMAError):
-        return None
-    return None
-
-
-def _unpacked(data: bytes, at: tuple[int, int], depth: int) -> Layer | None:
+def _decoder(data: memoryview):
+    if data[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(47)
+    if data[:1] == b"x":
+        return zlib.decompressobj()
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if data[:1] == b"\xfd" else zstandard.ZstdDecompressor().decompressobj()
+
+
+def _streams(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """Start, end and contents of every gzip, zlib, zstd, bzip2 or xz stream in ``data``, also where it is cut off."""
+    view, at = memoryview(data), 0
+    while m := MAGIC.search(data, at):
+        at = m.start() + 1
+        raw, end = [], m.start()
+        try:
+            while end < len(data) and (not raw or data[end : end + 3] == b"\x1f\x8b\x08" == m[0]):  # members of gzip follow each other
+                decoder = _decoder(view[end:])
+                raw.append(decoder.decompress(view[end:]))
+                end = len(data) - len(decoder.unused_data) if decoder.eof else len(data)
+                at = end if decoder.eof else at
+        except (zlib.error, zstandard.ZstdError, OSError, ValueError, EOFError, lzma.LZMAError):
+            pass
+        if any(raw):
+            yield m.start(), end, b"".join(raw)
+
+
+def _unpacked(raw: bytes, at: tuple[int, int], layer: Layer, part: bool = False) -> Layer:
     """The text inside a compressed stream; every character maps to the whole stream, as no finer span exists."""
-    raw = _inflate(data)
-    if raw is None:
-        return None
-    text = raw.decode("utf-8", "replace")
-    return Layer(text, _Constant(at[0]), _Constant(at[1]), depth)
+    return Layer(raw.decode("utf-8", "replace"), _Constant(at[0]), _Constant(at[1]), layer.depth + 1, part or layer.part)
 
 
 class _Constant:
@@ -128,6 +148,18 @@ class _Counting:
         return i + self.shift
 
 
+class _Chosen:
+    """The items of a sequence at ``places``."""
+
+    __slots__ = ("places", "sequence")
+
+    def __init__(self, sequence, places: np.ndarray):
+        self.sequence, self.places = sequence, places
+
+    def __getitem__(self, i: int) -> int:
+        return self.sequence[int(self.places[i])]
+
+
 def _rewritten(layer: Layer, pieces: list[tuple[int, int, list[tuple[str, int, int]]]]) -> Layer:
     """``layer`` with each stretch (start, end) replaced by characters that carry spans within the layer."""
     chars: list[str] = []
@@ -143,20 +175,26 @@ def _rewritten(layer: Layer, pieces: list[tuple[int, int, list[tuple[str, int, i
             starts.append(layer.starts[s])
             ends.append(layer.ends[e - 1])
         at = end
-    return Layer("".join(chars), starts, ends, layer.depth + 1)
+    return Layer("".join(chars), starts, ends, layer.depth + 1, layer.part)
 
 
 def _url(layer: Layer) -> Iterator[Layer]:
     if "%" not in layer.text:
         return
+    for m in QUOTED.finditer(layer.text):
+        for quoted in {m[0], m[0].replace("+", "\x20")}:  # forms write a space as +
+            data = PERCENT.sub(lambda p: bytes.fromhex(p[0].replace("%", "")).decode("latin-1"), quoted).encode("latin-1")
+            if not MAGIC.search(data):
+                continue
+            sizes = np.array([len(p) for p in re.findall("%[0-9A-Fa-f]{2}|.", quoted)])
+            places = m.start() + np.concatenate([[0], np.cumsum(sizes)])
+            for start, end, raw in _streams(data):
+                yield _unpacked(raw, layer.span(int(places[start]), int(places[end])), layer)
     pieces = []
     for m in PERCENT.finditer(layer.text):
         data = bytes.fromhex(m[0].replace("%", ""))
         chars = _utf8_chars(data)
         if chars is None:
-            inner = _unpacked(data, layer.span(*m.span()), layer.depth + 1)
-            if inner:
-                yield inner
             chars = [(chr(b) if b < 128 else UNKNOWN, i, i + 1) for i, b in enumerate(data)]
         pieces.append((m.start(), m.end(), [(c, m.start() + 3 * s, m.start() + 3 * e) for c, s, e in chars]))
     if pieces:
@@ -182,27 +220,56 @@ def _unicode(layer: Layer) -> Iterator[Layer]:
         yield _rewritten(layer, pieces)
 
 
-def _printable(chars: list[tuple[str, int, int]]) -> bool:
-    return all(c.isprintable() or c in "\t\n\r" for c, _, _ in chars)
-
-
 def _base64(layer: Layer) -> Iterator[Layer]:
+    """Stretches of base64 joined over line breaks, and long lines of them alone, from each of their first four letters."""
     for m in BASE64.finditer(layer.text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            body = body[:-1]  # a letter of the text behind it
-        data = base64.b64decode(body + "=" * (-len(body) % 4))
-        inner = _unpacked(data, layer.span(*m.span()), layer.depth + 1)
-        if inner:
-            yield inner
-            continue
-        if data[:1] > b"\x7f" and data[:1] < b"\xc2":
+        lines = [x.span() for x in LETTERS.finditer(layer.text, *m.span())]
+        yield from _decoded(layer, lines, m.end(), False)
+        if len(lines) > 1:
+            for line in lines:
+                if line[1] - line[0] >= 16:
+                    yield from _decoded(layer, [line], line[1], True)
+
+
+def _decoded(layer: Layer, lines: list[tuple[int, int]], stop: int, part: bool) -> Iterator[Layer]:
+    """Layers in the base64 letters of ``lines``, whose padding ends at ``stop``."""
+    letters = "".join(layer.text[a:b] for a, b in lines).translate(STANDARD)
+    if len(letters) < 16:
+        return
+    places = None
+    for shift in range(4):
+        body = letters[shift : len(letters) - ((len(letters) - shift) % 4 == 1)]  # without a letter of the text behind it
+        data = binascii.a2b_base64(body + "=" * (-len(body) % 4))
+        packed = MAGIC.search(data)
+        text = _text(data)
+        if not packed and (text is None or len(text) < LEAST):
             continue
-        chars = _utf8_chars(data)
-        if chars and _printable(chars):
-            at = m.start()
-            inside = [(at + s * 8 // 6, min(at - (-e * 8 // 6), m.end())) for _, s, e in chars]
-            yield Layer("".join(c for c, _, _ in chars), [layer.starts[s] for s, _ in inside], [layer.ends[e - 1] for _, e in inside], layer.depth + 1)
+        if places is None:
+            places = np.concatenate([np.arange(a, b) for a, b in lines])
+        for start, end, raw in _streams(data) if packed else ():
+            last = stop if end == len(data) else int(places[shift + -(-end * 8 // 6) - 1]) + 1
+            yield _unpacked(raw, layer.span(int(places[shift + start * 8 // 6]), last), layer, part)
+        if text and len(text) >= LEAST:
+            ends = _byte_ends(text)
+            starts = np.concatenate([[0], ends[:-1]])
+            yield Layer(text, _Chosen(layer.starts, places[shift + starts * 8 // 6]), _Chosen(layer.ends, places[shift - (-ends * 8 // 6) - 1]), layer.depth + 1, part or layer.part)
+
+
+def _text(data: bytes) -> str | None:
+    """``data`` as printable text, else None."""
+    try:
+        text = data.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    return text if all(c.isprintable() or c in "\t\n\r" for c in text) else None
+
+
+def _byte_ends(text: str) -> np.ndarray:
+    """Where each character ends in the bytes of ``text``."""
+    if text.isascii():
+        return np.arange(1, len(text) + 1)
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))
 
 
 def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, int]]]:
@@ -210,10 +277,12 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
 
     A worklist holds layers still to scan.  Each is scanned as a text of its own and
     then unwrapped one step in every way that applies; a layer whose text and place
-    were seen before is not entered again, so unwrapping ends.
+    were seen before is not entered again, so unwrapping ends.  A finding at an end of
+    a line of base64 gives way to one of the joined lines that goes on from it.
     """
     base = find_plain(text)
     depth_of = {f: 0 for f in base}
+    cut_off = {}
     root = Layer(text, _Counting(0), _Counting(1), 0)
     work, seen = [root], set()
     while work:
@@ -224,8 +293,19 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
                 continue
             seen.add(mark)
             for kind, start, end in find_plain(layer.text):
-                depth_of.setdefault((kind, *layer.span(start, end)), layer.depth)
+                at_end = layer.part and (start == 0 or end == len(layer.text))
+                (cut_off if at_end else depth_of).setdefault((kind, *layer.span(start, end)), layer.depth)
         work.extend(x for x in chain(_url(layer), _unicode(layer), _base64(layer)) if x.text and x.text != layer.text)
+    if cut_off:
+        reach = {}
+        for kind, start, end in depth_of:
+            reach[kind, start] = max(end, reach.get((kind, start), 0))
+        digits = sorted((start, end) for kind, start, end in depth_of if kind == "hex")
+        upto = list(accumulate((end for _, end in digits), max))
+        for f, depth in cut_off.items():
+            before = bisect(digits, f[1], key=lambda d: d[0]) if f[0] == "hex" else 0
+            if max(reach.get(f[:2], 0), upto[before - 1] if before else 0) < f[2]:
+                depth_of.setdefault(f, depth)
     order = lambda f: (f[1], KINDS.index(f[0]), f[2])
     return sorted(base, key=order), [(*f, depth_of[f]) for f in sorted(depth_of, key=order)]
 
