@@ -97,6 +97,21 @@ def test_secrets_in_broken_layers(hidden):
     assert all(8 <= f[1] < f[2] <= 8 + len(hidden) and f[3] >= 1 for f in every)
 
 
+@pytest.mark.parametrize("shift", range(4))
+def test_secrets_after_other_letters(shift):
+    hidden = base64.b64encode(b"password=hunter2hunter2").decode()
+    assert secrets.scan("data_x/y"[shift:] + hidden)[1] == [("assign", 8 - shift, 8 - shift + 31, 1)]
+    lines = "\n".join(base64.b64encode(f"token=hunter2hunter{i}".encode()[:18]).decode() for i in range(3))
+    assert {f[1] for f in secrets.scan(lines)[1]} == {0, 25, 50}
+
+
+@pytest.mark.parametrize("odd", [b"\xc2\xa0", b"\xe2\x80\x8b", b"\xc2\xad", b"\xef\xbb\xbf", b"\x1b", b"\xff", b"\x80"])
+def test_secrets_beside_odd_bytes(odd):
+    hidden = base64.b64encode(odd + LONG.encode() + odd).decode()
+    assert [f[0] for f in secrets.scan(hidden)[1]] == ["assign", "access"]
+    assert [f[0] for f in secrets.scan(base64.b64encode(b"\xff pass\xe2\x80\x8bword=hunter2hunter2").decode())[1]] == ["assign"]
+
+
 def test_bpe(docs, empty):
     path = tokenizer_path("byte_bpe_multi_50k.tiktoken")
     e = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})

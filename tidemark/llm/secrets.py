@@ -35,6 +35,8 @@ WIDE = re.compile("[%c-%c]|[%c-%c%c%c%c]" % (0xFF01, 0xFF5E, 0x200B, 0x200D, 0x2
 ESCAPES = re.compile(r"(?:\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2})|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|%u[0-9A-Fa-f]{4}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&(?:amp|quot|apos|lt|gt|equals|colon);|" + WIDE.pattern)
 ESCAPE_HINTS = ("\\u", "\\U", "\\x", "%u", "&#", "&amp;", "&quot;", "&apos;", "&lt;", "&gt;", "&equals;", "&colon;")
 UNKNOWN = chr(0xFFFD)
+#: What bytes that aren't UTF-8 are decoded to at first.
+BAD = re.compile("[%c-%c]" % (0xDC80, 0xDCFF))
 #: 16 letters or more without a break, or letters that go on over line breaks.
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:(?:[ \t]*+(?:\r\n?|\n)[ \t]*+[A-Za-z0-9+/_-]++)++|(?<=[A-Za-z0-9+/_-]{16}))={0,2}")
 LETTERS = re.compile(r"[A-Za-z0-9+/_-]+")
@@ -77,20 +79,6 @@ class Layer:
         return (self.starts[start], self.ends[end - 1]) if start < end else (0, 0)
 
 
-def _utf8_chars(data: bytes) -> list[tuple[str, int, int]] | None:
-    """Characters of UTF-8 bytes with their byte spans; None where they are no text."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    out, at = [], 0
-    for c in text:
-        n = 1 if c < "\x80" else len(c.encode("utf-8"))
-        out.append((c, at, at + n))
-        at += n
-    return out
-
-
 def _decoder(data: memoryview):
     if data[:2] == b"\x1f\x8b":
         return zlib.decompressobj(47)
@@ -193,10 +181,9 @@ def _url(layer: Layer) -> Iterator[Layer]:
     pieces = []
     for m in PERCENT.finditer(layer.text):
         data = bytes.fromhex(m[0].replace("%", ""))
-        chars = _utf8_chars(data)
-        if chars is None:
-            chars = [(chr(b) if b < 128 else UNKNOWN, i, i + 1) for i, b in enumerate(data)]
-        pieces.append((m.start(), m.end(), [(c, m.start() + 3 * s, m.start() + 3 * e) for c, s, e in chars]))
+        text, ends = _characters(data)
+        places = [m.start(), *(m.start() + 3 * ends).tolist()]
+        pieces.append((m.start(), m.end(), list(zip(text, places, places[1:], strict=False))))
     if pieces:
         yield _rewritten(layer, pieces)
 
@@ -232,7 +219,7 @@ def _base64(layer: Layer) -> Iterator[Layer]:
 
 
 def _decoded(layer: Layer, lines: list[tuple[int, int]], stop: int, part: bool) -> Iterator[Layer]:
-    """Layers in the base64 letters of ``lines``, whose padding ends at ``stop``."""
+    """Layers in the base64 letters of ``lines``, whose padding ends at ``stop``; they are scanned whatever they hold."""
     letters = "".join(layer.text[a:b] for a, b in lines).translate(STANDARD)
     if len(letters) < 16:
         return
@@ -241,35 +228,28 @@ def _decoded(layer: Layer, lines: list[tuple[int, int]], stop: int, part: bool)
         body = letters[shift : len(letters) - ((len(letters) - shift) % 4 == 1)]  # without a letter of the text behind it
         data = binascii.a2b_base64(body + "=" * (-len(body) % 4))
         packed = MAGIC.search(data)
-        text = _text(data)
-        if not packed and (text is None or len(text) < LEAST):
+        if not packed and len(data) < LEAST:
             continue
         if places is None:
             places = np.concatenate([np.arange(a, b) for a, b in lines])
         for start, end, raw in _streams(data) if packed else ():
             last = stop if end == len(data) else int(places[shift + -(-end * 8 // 6) - 1]) + 1
             yield _unpacked(raw, layer.span(int(places[shift + start * 8 // 6]), last), layer, part)
-        if text and len(text) >= LEAST:
-            ends = _byte_ends(text)
+        if len(data) >= LEAST:
+            text, ends = _characters(data)
             starts = np.concatenate([[0], ends[:-1]])
             yield Layer(text, _Chosen(layer.starts, places[shift + starts * 8 // 6]), _Chosen(layer.ends, places[shift - (-ends * 8 // 6) - 1]), layer.depth + 1, part or layer.part)
 
 
-def _text(data: bytes) -> str | None:
-    """``data`` as printable text, else None."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if all(c.isprintable() or c in "\t\n\r" for c in text) else None
-
-
-def _byte_ends(text: str) -> np.ndarray:
-    """Where each character ends in the bytes of ``text``."""
-    if text.isascii():
-        return np.arange(1, len(text) + 1)
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    return np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))
+def _characters(data: bytes) -> tuple[str, np.ndarray]:
+    """Text of UTF-8 bytes, each bad byte as one unknown character, and where each character ends in them."""
+    if data.isascii():
+        return data.decode("ascii"), np.arange(1, len(data) + 1)
+    text = data.decode("utf-8", "surrogateescape")
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    bad = (codes >= 0xDC80) & (codes <= 0xDCFF)
+    ends = np.cumsum(np.where(bad, 1, 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)))
+    return BAD.sub(UNKNOWN, text), ends
 
 
 def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, int]]]:
