@@ -258,3 +258,20 @@ def test_repeated_strings(docs, empty):
         kept = bytes(np.frombuffer(t, np.uint8)[~gone])
         assert (got[i]["n_removed"], got[i]["kept_sha256"]) == (int(gone.sum()), hashlib.sha256(kept).hexdigest())
     assert substring_dedup.remove_repeats(empty).count() == 0
+
+
+def test_anchors_of_long_texts():
+    size = (1 << 25) + 300_000
+    data = np.frombuffer(np.random.default_rng(4).bytes(size), np.uint8).copy()
+    places = [1000, substring_dedup.BLOCK - 2000, (1 << 25) - 2000, (1 << 25) + 100_000]
+    for at in places[1:]:
+        data[at : at + 5000] = data[1000:6000]
+    short = data[1000:6000]
+    want = substring_dedup.window_runs(short, np.array([0, len(short)]), 400)[0]
+    got = substring_dedup.window_runs(data, np.array([0, size]), 400)[0]
+    assert got[1].sum() == size - 399
+    for at in places:
+        inner = np.searchsorted(got[0], at + want[0][1:-1])
+        assert (got[0][inner] == at + want[0][1:-1]).all()
+        for mine, theirs in zip(got[1:], want[1:], strict=True):
+            assert (mine[inner] == theirs[1:-1]).all()

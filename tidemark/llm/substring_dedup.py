@@ -14,8 +14,10 @@ from tidemark.llm.common import slices, small_batches
 from tidemark.llm.words import BASE, BYTE_KEYS, INVERSE, mix, powers
 from tidemark.session import discard, materialize
 
-#: Low bits of a key that hold a place in the batch.
+#: Low bits of a key that hold a place in a block of windows.
 PLACE_BITS = 25
+#: Windows of a block; blocks overlap, so that each holds all anchors of its windows.
+BLOCK = 1 << 22
 RUNS = "array<struct<start:int,n:int,anchor:bigint,whole:bigint>>"
 _RUN = pa.struct([("start", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64()), ("whole", pa.int64())])
 
@@ -50,6 +52,26 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - (width - have)], out[width - have :]) if width > have else out
 
 
+def _anchors(sums: np.ndarray, length: int) -> np.ndarray:
+    """Where the anchor of each window of ``length`` bytes begins.
+
+    Keys hold places within a block: those of a whole text of any size would not fit beside the hash.
+    """
+    half = length // 2
+    width = length - half + 1
+    if BLOCK + width > 1 << PLACE_BITS:
+        raise ValueError(f"windows of {length} bytes are too long")
+    mask = np.uint64((1 << PLACE_BITS) - 1)
+    n = len(sums) - length
+    chosen = np.zeros(n, np.int64)
+    for low in range(0, n, BLOCK):
+        high = min(low + BLOCK, n)
+        at = np.arange(low, high + width - 1)
+        keys = (_hashes(sums, at, at + half) & ~mask) | (at - low).astype(np.uint64)
+        chosen[low:high] = (_least(keys, width) & mask).astype(np.int64) + low
+    return chosen
+
+
 def window_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Windows of ``length`` bytes of each text, in runs that share an anchor.
 
@@ -65,10 +87,7 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> list[tupl
     if n < length:
         return [none] * (len(offsets) - 1)
     sums = _sums(data)
-    at = np.arange(n - half + 1)
-    anchors = _hashes(sums, at, at + half)
-    mask = np.uint64((1 << PLACE_BITS) - 1)
-    chosen = (_least((anchors & ~mask) | at.astype(np.uint64), length - half + 1) & mask).astype(np.int64)
+    chosen = _anchors(sums, length)
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         if b - a < length:
             out.append(none)
@@ -76,8 +95,8 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> list[tupl
         own = chosen[a : b - length + 1]
         starts = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
         sizes = np.diff(np.concatenate([starts, [len(own)]]))
-        first = starts + a
-        out.append((starts, sizes, anchors[own[starts]], _hashes(sums, first, first + sizes - 1 + length)))
+        first, anchor = starts + a, own[starts]
+        out.append((starts, sizes, _hashes(sums, anchor, anchor + half), _hashes(sums, first, first + sizes - 1 + length)))
     return out
 
 
