@@ -275,3 +275,29 @@ def test_anchors_of_long_texts():
         assert (got[0][inner] == at + want[0][1:-1]).all()
         for mine, theirs in zip(got[1:], want[1:], strict=True):
             assert (mine[inner] == theirs[1:-1]).all()
+
+
+def test_null_ids(spark):
+    edited = PROSE.replace("word5x5 ", "other ")
+    other, passage = " ".join(f"own{i}z{i * 3}" for i in range(200)), " ".join(f"shared{i}q{i * 7}" for i in range(90))
+    rows = [(None, PROSE), (None, edited), (None, PROSE), (None, other), (None, None), (None, None), (None, ""), (1, LINES), (None, LINES), (2, LINES.replace("line 5 ", "row 5 ")), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    near = collections.Counter((r["doc_id"], r["class_id"], r["copy_id"]) for r in near_dedup.near_duplicates(docs).collect())
+    assert near == {(None, None, None): 7, (None, 1, 1): 1, (1, 1, 1): 1, (2, 1, 2): 1, (3, 3, 3): 1}
+    kept = [tuple(r) for r in near_dedup.keep_one(docs).collect()]
+    assert len(set(kept) & {(None, PROSE), (None, edited)}) == 1
+    assert collections.Counter(x for x in kept if x[1] not in (PROSE, edited)) == {(None, other): 1, (None, None): 2, (None, ""): 1, (1, LINES): 1, (3, None): 1}
+    assert len(kept) == 7
+
+    texts = [f"{'a' * 10} {passage} {'b' * 10}", f"{'c' * 20} {passage} {'d' * 20}", other[:900], None]
+    got = substring_dedup.remove_repeats(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(2), 400).collect()
+    common = len(passage) + 2
+    assert sorted((r["n_bytes"], r["n_removed"]) for r in got) == sorted([(len(texts[0]), common), (len(texts[1]), common), (900, 0), (0, 0)])
+
+
+def test_null_ids_in_the_stage(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(None, PROSE, "en"), (None, LINES, "de"), (4, LINES, None)], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert {tuple(r) for r in kept.collect()} == {(None, PROSE, "en"), (4, LINES, None)} and kept.columns == docs.columns

@@ -21,6 +21,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def reference(column: str) -> Column:
+    """A key for joins on an id that may be null: null ids are equal to each other and to no other."""
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
 def few_files(df: DataFrame) -> DataFrame:
     """``df`` in no more partitions than four for each core, without a shuffle: a task takes several in turn.
 

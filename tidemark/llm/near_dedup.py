@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import few_files, release_memory, slices, small_batches
+from tidemark.llm.common import few_files, reference, release_memory, slices, small_batches
 from tidemark.llm.components import components
 from tidemark.llm.words import mix, shingles, words_of
 from tidemark.session import discard, materialize
@@ -171,8 +171,8 @@ def _verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame
     return both.select("u", "v", "hashes", "counts", "hashes2", "counts2").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``class_id`` (least id of the class), ``copy_id`` (least id with the same text) and ``same`` for every row.
+def _classes(docs: DataFrame, similarity: float = 0.8, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What ``near_duplicates`` gives, and ``least_same``, the least hash of a text of the class.
 
     Two texts are linked if the multisets of their ``k``-word shingles have a weighted
     Jaccard similarity of at least ``similarity``; classes are the components of links.
@@ -189,9 +189,6 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, id_col
     it agrees in ``AGREE`` registers at least.  Comparison is exact, on multisets of 64-bit
     shingle hashes.
 
-    A text of fewer words is one shingle.  Texts without words are linked to equal ones
-    only, null texts to none.  Rows with one id stand for themselves by their texts.
-    An empty table gives no rows.
     """
     small_batches(docs.sparkSession, 250)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -202,8 +199,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, id_col
     entries = nodes.where("bands is not null").select("node", F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     buckets = materialize(few_files(entries.join(shared, "key").select("key", "node")), "buckets")
-    wanted = nodes.join(buckets.select("node").distinct(), "node").select("node", "same", F.col("copy_id").alias("doc_id"))
-    texts = own.where("text is not null").withColumn("same", F.unhex(F.md5(F.encode("text", "UTF-8")))).join(wanted, ["doc_id", "same"]).dropDuplicates(["doc_id", "same"])
+    wanted = nodes.join(buckets.select("node").distinct(), "node").select("node", "same", reference("copy_id").alias("ref"))
+    texts = own.where("text is not null").withColumn("same", F.unhex(F.md5(F.encode("text", "UTF-8")))).withColumn("ref", reference("doc_id")).join(wanted, ["ref", "same"]).dropDuplicates(["ref", "same"])
     bags = materialize(_bags(texts, k), "bags")
 
     weights = materialize(few_files(_shared_weight(bags)), "weights")
@@ -240,17 +237,34 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, id_col
         width *= 8
     discard(buckets, bags)
     member = nodes.join(labels, "node", "left").select("same", "copy_id", F.coalesce("label", "node").alias("label"))
-    classes = member.groupBy("label").agg(F.min("copy_id").alias("class_id"))
-    by_text = member.join(classes, "label").select("same", "copy_id", "class_id")
+    classes = member.groupBy("label").agg(F.min("copy_id").alias("class_id"), F.min("same").alias("least_same"))
+    by_text = member.join(classes, "label").select("same", "copy_id", "class_id", "least_same")
     out = signed.select("doc_id", "same").join(by_text, "same", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), "same")
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), "same", "least_same")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``class_id`` (least id of the class), ``copy_id`` (least id with the same text) and ``same`` for every row.
+
+    See ``_classes`` for how they are found.  A text of fewer words is one shingle.  Texts
+    without words are linked to equal ones only, null texts to none.  Rows with one id
+    stand for themselves by their texts.  Rows with a null id are linked as any other, but
+    name a class or text only where none of its rows has an id; then ``class_id`` or
+    ``copy_id`` is null.  An empty table gives no rows.
+    """
+    return _classes(docs, similarity, k, id_col, text_col).drop("least_same")
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the document of the least id of each class, and once where it is repeated."""
-    near = near_duplicates(docs, similarity, k, id_col, text_col)
-    kept = near.where("doc_id = class_id and (same is null or doc_id = copy_id)").select(F.col("doc_id").alias("id"), "same").distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(F.encode(text_col, "UTF-8"))).alias("same2"))
+    """``docs`` with the document of the least id of each class, and once where it is repeated.
+
+    Of a class without ids the text of the least hash is kept.  Null texts are no copies
+    and all stay, whatever their id.
+    """
+    near = _classes(docs, similarity, k, id_col, text_col)
+    first = F.when(F.col("same").isNull(), True).when(F.col("class_id").isNull(), F.col("same") == F.col("least_same")).otherwise(F.expr("doc_id = class_id and doc_id = copy_id"))
+    kept = near.where(first).select(reference("doc_id").alias("id"), "same").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")).alias("id"), F.unhex(F.md5(F.encode(text_col, "UTF-8"))).alias("same2"))
     joined = rows.join(kept, "id").where(F.col("same").eqNullSafe(F.col("same2")))
     apart = F.when(F.col("same").isNull(), F.monotonically_increasing_id())  # null texts are no copies
     return joined.withColumn("apart", apart).dropDuplicates(["id", "same", "apart"]).select("row.*")

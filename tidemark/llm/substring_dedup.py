@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, small_batches
+from tidemark.llm.common import reference, slices, small_batches
 from tidemark.llm.words import BASE, BYTE_KEYS, INVERSE, mix, powers
 from tidemark.session import discard, materialize
 
@@ -168,14 +168,15 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     window and of its anchor.
 
     Null and empty texts, and those shorter than ``length``, keep all.  A repeated text
-    of that length or longer loses all.  An empty table gives no rows.
+    of that length or longer loses all.  Rows with a null id are judged and counted as
+    any other, and keep it.  An empty table gives no rows.
     """
     small_batches(docs.sparkSession, 250)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     profiles = materialize(_profiles(own, length), "profiles")
     groups = profiles.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     nodes = materialize(groups.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    reps = profiles.where(F.size("runs") > 0).join(nodes, ["same", "doc_id"]).dropDuplicates(["node"]).select("node", F.least("copies", F.lit(2)).cast("int").alias("weight"), "runs")
+    reps = profiles.where(F.size("runs") > 0).withColumn("ref", reference("doc_id")).join(nodes.withColumn("ref", reference("doc_id")), ["same", "ref"]).dropDuplicates(["node"]).select("node", F.least("copies", F.lit(2)).cast("int").alias("weight"), "runs")
     runs = materialize(reps.select("node", "weight", F.explode("runs").alias("r")).select("node", "weight", "r.*"), "runs")
 
     counted = runs.groupBy("anchor", "whole").agg(F.sum("weight").alias("found"), F.min(F.struct("node", "start", "n", "weight")).alias("one"))
@@ -186,8 +187,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     by_node = needed.groupBy("node").agg(F.collect_list(F.struct("start", "n", "anchor", F.col("found").alias("weight"))).alias("needed"))
     settled_by = settled.groupBy("node").agg(F.collect_list(F.struct("start", "n")).alias("settled"))
     touched = by_node.join(settled_by, "node", "full")
-    places = touched.join(nodes.select("node", "doc_id", "same", "copies"), "node")
-    texts = own.join(places, "doc_id").where(F.col("same") == F.unhex(F.md5(F.encode("text", "UTF-8")))).dropDuplicates(["node"])
+    places = touched.join(nodes.select("node", reference("doc_id").alias("ref"), "same", "copies"), "node")
+    texts = own.withColumn("ref", reference("doc_id")).join(places, "ref").where(F.col("same") == F.unhex(F.md5(F.encode("text", "UTF-8")))).dropDuplicates(["node"])
     texts = materialize(texts.select("node", "copies", "text", "needed", "settled"), "texts")
     discard(runs, counted)
 
