@@ -10,16 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import reference, slices, small_batches
+from tidemark.llm.common import free, reference, release_memory, slices, small_batches
 from tidemark.llm.words import BASE, BYTE_KEYS, INVERSE, mix, powers
-from tidemark.session import discard, materialize
+from tidemark.session import materialize
 
 #: Low bits of a key that hold a place in a block of windows.
 PLACE_BITS = 25
 #: Windows of a block; blocks overlap, so that each holds all anchors of its windows.
 BLOCK = 1 << 22
-RUNS = "array<struct<start:int,n:int,anchor:bigint,whole:bigint>>"
-_RUN = pa.struct([("start", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64()), ("whole", pa.int64())])
+#: Suffixes that a round of refinement moves together, by round; the last round tells single ones apart.
+WIDTHS = (32, 4, 1)
+RUNS = "array<struct<start:int,n:int,at:int,anchor:bigint,hull:binary>>"
+_RUN = pa.struct([("start", pa.int32()), ("n", pa.int32()), ("at", pa.int32()), ("anchor", pa.int64()), ("hull", pa.binary())])
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -43,6 +45,11 @@ def _hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return mix((sums[ends] - sums[starts]) * powers(INVERSE, len(sums))[starts] + (ends - starts).astype(np.uint64))
 
 
+def _name(data: memoryview | bytes) -> bytes:
+    """Names of intervals: strings have one name only if they are equal (128 bits of BLAKE2b)."""
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
     """Least of each run of ``width`` keys, by runs of doubling width."""
     out, have = keys, 1
@@ -77,14 +84,12 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> list[tupl
 
     The anchor of a window is the string of half its length in it with the least hash,
     the leftmost of equal ones; equal windows have equal anchors.  For each run: its
-    first window's start, how many windows, the anchor's hash, and the hash of all
-    bytes from the first window's start to the last one's end.
+    first window's start, how many windows, where the anchor starts, and the anchor's hash.
     """
     half = length // 2
-    n = len(data)
     out = []
-    none = (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
-    if n < length:
+    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+    if len(data) < length:
         return [none] * (len(offsets) - 1)
     sums = _sums(data)
     chosen = _anchors(sums, length)
@@ -95,47 +100,69 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> list[tupl
         own = chosen[a : b - length + 1]
         starts = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
         sizes = np.diff(np.concatenate([starts, [len(own)]]))
-        first, anchor = starts + a, own[starts]
-        out.append((starts, sizes, _hashes(sums, anchor, anchor + half), _hashes(sums, first, first + sizes - 1 + length)))
+        anchor = own[starts]
+        out.append((starts, sizes, anchor - a, _hashes(sums, anchor, anchor + half)))
     return out
 
 
 def _profiles(docs: DataFrame, length: int) -> DataFrame:
-    """For every text its size, the hashes of its bytes, and its window runs."""
+    """The window runs of every text that has windows, with the name of all bytes that a run's windows cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             data, offsets = _bytes_of(batch.column("text"))
             runs = window_runs(data, offsets, length)
-            flat = [np.concatenate(x) for x in zip(*runs, strict=True)]
-            cols = [flat[0].astype(np.int32), flat[1].astype(np.int32), flat[2].view(np.int64), flat[3].view(np.int64)]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r[0]) for r in runs])]), pa.int32()), pa.StructArray.from_arrays([pa.array(c) for c in cols], fields=list(_RUN)))
             view = memoryview(data)
-            texts = [view[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([hashlib.md5(t).digest() for t in texts], pa.binary()), pa.array(np.diff(offsets)), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), lists],
-                names=["doc_id", "same", "n_bytes", "sha256", "runs"],
-            )
+            hulls = [_name(view[a + s : a + s + n - 1 + length]) for a, r in zip(offsets.tolist(), runs, strict=False) for s, n in zip(r[0].tolist(), r[1].tolist(), strict=True)]
+            flat = [np.concatenate(x) for x in zip(*runs, strict=True)]
+            cols = [pa.array(x.astype(np.int32)) for x in flat[:3]] + [pa.array(flat[3].view(np.int64)), pa.array(hulls, pa.binary())]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r[0]) for r in runs])]), pa.int32()), pa.StructArray.from_arrays(cols, fields=list(_RUN)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("same"), lists], names=["doc_id", "same", "runs"])
 
-    return docs.mapInArrow(run, f"doc_id long, same binary, n_bytes long, sha256 string, runs {RUNS}")
+    return docs.where(F.octet_length("text") >= length).mapInArrow(run, f"doc_id long, same binary, runs {RUNS}")
 
 
-def _windows(texts: DataFrame, length: int) -> DataFrame:
-    """Hashes of the single windows of the runs in ``needed``, with the anchor and weight of their run."""
+def _stretches(texts: DataFrame, length: int) -> DataFrame:
+    """The bytes that the windows of each run in ``needed`` cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 18):
-            parts: list[list[np.ndarray]] = [[] for _ in range(5)]
-            for i in range(batch.num_rows):
-                sums = _sums(np.frombuffer(batch.column("text")[i].as_py().encode(), np.uint8))
-                start, n, anchor, weight = (x.to_numpy() for x in batch.column("needed")[i].values.flatten())
-                at = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-                node = np.full(len(at), batch.column("node")[i].as_py(), np.int64)
-                for part, x in zip(parts, (node, at.astype(np.int32), np.repeat(anchor, n), _hashes(sums, at, at + length).view(np.int64), np.repeat(weight, n)), strict=True):
-                    part.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], names=["node", "start", "anchor", "hash", "weight"])
+        for batch in batches:
+            parts: list[tuple] = []
+            for node, text, needed in zip(*(batch.column(c) for c in ("node", "text", "needed")), strict=True):
+                data = text.as_py().encode()
+                parts += [(node.as_py(), r["start"], r["n"], r["at"], r["weight"], data[r["start"] : r["start"] + r["n"] - 1 + length]) for r in needed.as_py()]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*parts, strict=True), kinds, strict=True)], names=["node", "start", "n", "at", "weight", "data"])
+            release_memory()
+
+    return texts.mapInArrow(run, "node long, start int, n int, at int, weight int, data binary")
+
+
+def _blocks(stretches: DataFrame, width: int, length: int) -> DataFrame:
+    """Blocks of at most ``width`` suffixes of what is ``open``, with the names of their cores and hulls.
+
+    A suffix stands ``d`` bytes before its anchor, and blocks are cut where ``d`` is a
+    multiple of ``width``, alike at all places of an anchor.  The core is what all
+    suffixes of a full block share, the hull what its suffixes here cover.
+    """
 
-    return texts.mapInArrow(run, "node long, start int, anchor long, hash long, weight int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts: list[tuple] = []
+            for rid, node, start, at, data, opened in zip(*(batch.column(c).to_pylist() for c in ("rid", "node", "start", "at", "data", "open")), strict=True):
+                view, anchor = memoryview(data), at - start
+                for part in opened:
+                    for first in range(part["lo"] // width * width, part["hi"] + 1, width):
+                        lo, hi = max(first, part["lo"]), min(first + width - 1, part["hi"])
+                        hull = _name(view[anchor - hi : anchor - lo + length])
+                        core = hull if width == 1 else _name(view[anchor - first : anchor - first + max(0, length - width + 1)])
+                        parts.append((rid, node, at, lo, hi, part["weight"], core, hull))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            cols = list(zip(*parts, strict=True)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["rid", "node", "at", "lo", "hi", "weight", "core", "hull"])
+            release_memory()
+
+    return stretches.mapInArrow(run, "rid long, node long, at int, lo int, hi int, weight int, core binary, hull binary")
 
 
 def covered_spans(starts: np.ndarray, sizes: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -150,6 +177,47 @@ def covered_spans(starts: np.ndarray, sizes: np.ndarray, length: int) -> list[tu
     return out
 
 
+def _counted(named: DataFrame, by: str, *home: str) -> tuple[DataFrame, DataFrame]:
+    """How often each hull is found under each core (or anchor) ``by``, at which place first; and of each ``by`` in all, and its rarest hull."""
+    hulls = materialize(named.groupBy(by, "hull").agg(F.sum("weight").alias("found"), F.min(F.struct(*home)).alias("home")), "hulls")
+    return hulls, hulls.groupBy(by).agg(F.sum("found").alias("under"), F.min("found").alias("rarest"))
+
+
+def repeated_windows(nodes: DataFrame, own: DataFrame, length: int) -> DataFrame:
+    """Runs (``node``, ``start``, ``n``) of suffixes of texts that aren't copied, whose first ``length`` bytes start elsewhere too.
+
+    ``nodes`` has the distinct texts with ``same``, ``ref``, ``copies`` and ``runs``.
+    """
+    weight = F.least("copies", F.lit(2)).cast("int").alias("weight")
+    runs = nodes.select("node", weight, F.explode("runs").alias("r")).select("node", "weight", "r.*")
+    twice = runs.groupBy("anchor").agg(F.sum("weight").alias("under")).where("under > 1").select("anchor")
+    shared = materialize(runs.join(twice, "anchor"), "shared")
+    hulls, anchors = _counted(shared, "anchor", "node", "start", "n", "at")
+    needed = materialize(hulls.join(anchors.where("rarest = 1").select("anchor"), "anchor").select("home.*", F.least("found", F.lit(2)).cast("int").alias("weight")), "needed")
+    out = materialize(shared.where("weight = 1").join(hulls.where("found > 1").select("anchor", "hull"), ["anchor", "hull"]).select("node", "start", "n"), "repeated")
+    free(shared, hulls)
+
+    places = needed.groupBy("node").agg(F.collect_list(F.struct("start", "n", "at", "weight")).alias("needed")).join(nodes.select("node", "same", "ref"), "node")
+    texts = own.withColumn("ref", reference("doc_id")).join(places, ["same", "ref"]).dropDuplicates(["same", "ref"]).select("node", "text", "needed")
+    stretches = materialize(_stretches(texts, length).withColumn("rid", F.monotonically_increasing_id()), "stretches")
+    free(needed)
+
+    whole = F.array(F.struct((F.col("at") - F.col("start") - F.col("n") + 1).alias("lo"), (F.col("at") - F.col("start")).alias("hi"), "weight"))
+    state = stretches.select("rid", "node", "start", "at", "data", whole.alias("open"))
+    for width in WIDTHS:
+        blocks = materialize(_blocks(state, width, length), "blocks")
+        hulls, cores = _counted(blocks, "core", "rid", "lo")
+        facts = materialize(hulls.join(cores.where("under > 1"), "core"), "facts")
+        judged = materialize(blocks.join(facts, ["core", "hull"]).drop("core", "hull"), "judged")
+        free(blocks, hulls, facts)
+        found = judged.where("weight = 1 and found > 1").select("node", (F.col("at") - F.col("hi")).alias("start"), (F.col("hi") - F.col("lo") + 1).alias("n"))
+        out = out.unionByName(found)
+        on = judged.where("rarest = 1 and (found = 1 or (home.rid = rid and home.lo = lo))")
+        lists = on.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi", F.least("found", F.lit(2)).cast("int").alias("weight"))).alias("open"))
+        state = stretches.join(lists, "rid").select("rid", "node", "start", "at", "data", "open")
+    return out
+
+
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove from every text, as UTF-8 bytes, what lies in a string of ``length`` bytes that starts elsewhere too.
 
@@ -157,15 +225,21 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     texts as given.  One row per input row: ``doc_id``, ``n_bytes``, ``n_removed``,
     ``n_spans`` (maximal removed runs) and ``kept_sha256``.
 
-    Equal texts become one node with a weight.  Every window belongs to the anchor in
-    it (``window_runs``), and equal windows have equal anchors, so intervals of equal
-    prefixes are refined by string hashes under an anchor: first whole runs of windows, counted by
-    shard and merged; a run found twice settles all of its windows.  Only runs found
-    once under an anchor found twice, and one copy of each other run under it, are
-    opened into single windows and counted.  All counts are sums by key with
-    partial sums before the shuffle, so a passage of any number of copies is a few
-    rows for each task.  Windows count as equal if two 64-bit hashes agree, of the
-    window and of its anchor.
+    The suffixes of all texts are parted into intervals of common prefixes, which are
+    refined in rounds, and an interval holds suffixes of all shards.  Every suffix has
+    an anchor, a string of half the ``length`` within its first ``length`` bytes, that is
+    chosen by content (``window_runs``), so the refinement starts from the intervals of
+    anchors.  Suffixes that stand before one anchor move together, as a row of the
+    table, until they part.  A row leaves the table when it is alone (what its suffixes
+    have in common is found once) or settled (all it covers is found twice), and once
+    every row of its interval is settled.  What remains is cut into smaller blocks
+    (``WIDTHS``), whose intervals are extended by what precedes and follows the anchor.
+    Rounds exchange the intervals' names; a name is a digest of 128 bits, and only equal
+    bytes have equal names.
+
+    All counts are sums by name with partial sums before the shuffle; of equal rows one
+    goes on.  Joins give the counts back by name, and their results are written at once, so
+    that adaptive execution may split a name with very many rows.
 
     Null and empty texts, and those shorter than ``length``, keep all.  A repeated text
     of that length or longer loses all.  Rows with a null id are judged and counted as
@@ -173,53 +247,30 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     """
     small_batches(docs.sparkSession, 250)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    profiles = materialize(_profiles(own, length), "profiles")
-    groups = profiles.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    nodes = materialize(groups.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    reps = profiles.where(F.size("runs") > 0).withColumn("ref", reference("doc_id")).join(nodes.withColumn("ref", reference("doc_id")), ["same", "ref"]).dropDuplicates(["node"]).select("node", F.least("copies", F.lit(2)).cast("int").alias("weight"), "runs")
-    runs = materialize(reps.select("node", "weight", F.explode("runs").alias("r")).select("node", "weight", "r.*"), "runs")
-
-    counted = runs.groupBy("anchor", "whole").agg(F.sum("weight").alias("found"), F.min(F.struct("node", "start", "n", "weight")).alias("one"))
-    counted = materialize(counted, "counted")
-    anchors = counted.groupBy("anchor").agg(F.sum("found").alias("under"), F.min("found").alias("rarest")).where("under > 1 and rarest = 1").select("anchor")
-    needed = counted.join(anchors, "anchor").select("one.*", "anchor", F.least("found", F.lit(2)).cast("int").alias("found"))
-    settled = runs.where("weight = 1").join(counted.where("found > 1").select("anchor", "whole"), ["anchor", "whole"]).select("node", "start", "n")
-    by_node = needed.groupBy("node").agg(F.collect_list(F.struct("start", "n", "anchor", F.col("found").alias("weight"))).alias("needed"))
-    settled_by = settled.groupBy("node").agg(F.collect_list(F.struct("start", "n")).alias("settled"))
-    touched = by_node.join(settled_by, "node", "full")
-    places = touched.join(nodes.select("node", reference("doc_id").alias("ref"), "same", "copies"), "node")
-    texts = own.withColumn("ref", reference("doc_id")).join(places, "ref").where(F.col("same") == F.unhex(F.md5(F.encode("text", "UTF-8")))).dropDuplicates(["node"])
-    texts = materialize(texts.select("node", "copies", "text", "needed", "settled"), "texts")
-    discard(runs, counted)
-
-    windows = materialize(_windows(texts.where("needed is not null").select("node", "text", "needed"), length), "windows")
-    twice = windows.groupBy("anchor", "hash").agg(F.sum("weight").alias("found")).where("found > 1").select("anchor", "hash")
-    repeated = windows.where("weight = 1").join(twice, ["anchor", "hash"]).groupBy("node").agg(F.collect_list("start").alias("single"))
+    own = own.withColumn("same", F.unhex(F.md5(F.encode("text", "UTF-8"))))
+    groups = _profiles(own, length).groupBy("same").agg(F.min("doc_id").alias("ref"), F.count("*").alias("copies"), F.first("runs").alias("runs"))
+    nodes = materialize(groups.withColumn("ref", reference("ref")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    spans = repeated_windows(nodes, own, length).groupBy("node").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    marks = materialize(nodes.select("node", "same", "copies").join(spans, "node", "left").where("copies > 1 or spans is not null").drop("node"), "marks")
+    free(nodes)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
-                runs = [(x["start"], x["n"]) for x in r["settled"] or []] + [(s, 1) for s in r["single"] or []]
-                if not runs:
-                    continue
-                spans = covered_spans(*np.array(runs, np.int64).T, length)
-                data, kept, at = r["text"].encode(), hashlib.sha256(), 0
-                for a, b in spans:
+            for text, copies, runs in zip(*(batch.column(c) for c in ("text", "copies", "spans")), strict=True):
+                data, kept, at = text.as_py().encode(), hashlib.sha256(), 0
+                if (copies.as_py() or 1) > 1:
+                    gone = [(0, len(data))]
+                elif runs.is_valid:
+                    gone = covered_spans(*(x.to_numpy() for x in runs.values.flatten()), length)
+                else:
+                    gone = []
+                for a, b in gone:
                     kept.update(data[at:a])
                     at = b
                 kept.update(data[at:])
-                rows.append({"node": r["node"], "n_removed": sum(b - a for a, b in spans), "n_spans": len(spans), "kept": kept.hexdigest()})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("node", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.string())]))
-
-    part = texts.where("copies = 1").select("node", "text", "settled").join(repeated, "node", "left").mapInArrow(cut, "node long, n_removed long, n_spans long, kept string")
-    of_text = nodes.select("same", "copies", "node").join(part, "node", "left").drop("node")
-    out = profiles.select("doc_id", "same", "n_bytes", "sha256").join(of_text, "same")
-    gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    return out.select(
-        "doc_id",
-        "n_bytes",
-        F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept", "sha256")).alias("kept_sha256"),
-    )
+                rows.append((len(data), sum(b - a for a, b in gone), len(gone), kept.hexdigest()))
+            cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return own.join(marks, "same", "left").select("doc_id", "text", "copies", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
