@@ -132,14 +132,78 @@ def test_lines(docs, empty):
     assert line_dedup.line_report(empty).count() == 0
 
 
-def test_suffix_array(spark):
-    texts = ["a\nb\nc\nd", "x\na\nb\nc", "b\nc\ny"]
+def line_copies_by_brute_force(texts, min_lines, min_words):
+    """For each text the places of deleted lines, and the lines of its longest copied run."""
+    lines = [[x for x in t.split("\n") if WORD.search(x)] for t in texts]
+    places = [(d, i) for d, own in enumerate(lines) for i in range(len(own))]
+    gone, longest, seen = [set() for _ in texts], [0] * len(texts), set()
+    for at, (d, i) in enumerate(places):
+        common = {}
+        for e, j in places[:at]:
+            n = 0
+            while i + n < len(lines[d]) and j + n < len(lines[e]) and lines[d][i + n] == lines[e][j + n]:
+                n += 1
+            common.setdefault(n, (e, j))
+        n = max(common, default=0)
+        if n >= min_lines and not (common[n][0] == d and i - common[n][1] < n):
+            gone[d].update(range(i, i + n))
+            longest[d] = max(longest[d], n)
+        if len(WORD.findall(lines[d][i])) >= min_words:
+            if lines[d][i] in seen:
+                gone[d].add(i)
+                longest[d] = max(longest[d], 1)
+            seen.add(lines[d][i])
+    return gone, longest
+
+
+@pytest.mark.parametrize(("seed", "letters", "min_lines"), [(1, 2, 2), (2, 3, 2), (3, 5, 3), (4, 3, 1), (5, 9, 2)])
+def test_lines_by_brute_force(spark, seed, letters, min_lines):
+    rng = np.random.default_rng(seed)
+    words = ["a", "b", "c two", "d", "long line of some four words", "f", "g", "h", "i"][:letters]
+    texts = ["\n".join(rng.choice(words, rng.integers(0, 14))) for _ in range(14)] + ["a\na\na\na", "b\n \nb\na\nb\na\nb"]
+    texts.append("\n".join(texts[:6]))
+    texts.append("\n".join(texts[:6]) + "\nz\nz")
+    texts.append("\n".join(f"u{i}" for i in range(40)))
+    texts.append("\n".join(f"u{i}" for i in range(3, 40)) + "\na")
+    gone, longest = line_copies_by_brute_force(texts, min_lines, 4)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = by_id(line_dedup.line_report(docs, min_lines=min_lines, min_words=4))
+    kept = {r["doc_id"]: r["text"] for r in line_dedup.delete_repeated_lines(docs, min_lines=min_lines, min_words=4).collect()}
+    for i, t in enumerate(texts):
+        at, left = 0, []
+        for x in t.split("\n"):
+            if WORD.search(x):
+                at += 1
+                if at - 1 in gone[i]:
+                    continue
+            left.append(x)
+        assert (got[i]["n_deleted"], got[i]["longest_run"]) == (len(gone[i]), longest[i])
+        assert kept[i] == "\n".join(left) and got[i]["kept_sha256"] == hashlib.sha256(kept[i].encode()).hexdigest()
+
+
+def test_intervals_need_every_level(spark):
+    run = [f"l{i}" for i in range(11)]
+    texts = ["\n".join(["x", *run]), "\n".join([*run, "y"]), "\n".join(run[:6]), "\n".join(["l3", "l4", "w"])]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     levels = line_dedup.prefix_ranks(line_dedup.line_table(docs))
-    assert len(levels) == 2  # runs of 2 lines repeat, of 4 none
-    array = line_dedup.suffix_array(levels).collect()
-    starts = [texts[r["doc_id"]].split("\n")[r["line"]] for r in array]
-    assert [starts[i] == starts[i - 1] for i in range(1, len(starts))].count(False) == 2  # equal first lines stand together
+    assert len(levels) == 4  # runs of 8 lines repeat, of 16 none
+
+    def copies(levels):
+        return {(r["doc_id"], r["line"], r["lcp"]) for r in line_dedup.later_copies(levels)[0].collect()}
+
+    found = copies(levels)
+    assert {(1, i, 11 - i) for i in range(10)} <= found and {(2, i, 6 - i) for i in range(5)} <= found and (3, 0, 2) in found
+    assert all(copies(levels[:k]) != found for k in range(1, 4))
+    members = line_dedup.lcp_intervals(levels).groupBy("lcp").count().collect()
+    assert max(r["lcp"] for r in members) == 11
+
+
+def test_lines_of_null_ids(spark):
+    rows = [(None, "a\nb\nc"), (None, "x\na\nb"), (0, "a\nb\nc"), (7, "y\nb\nc"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = collections.Counter((r["doc_id"], r["text"]) for r in line_dedup.delete_repeated_lines(docs).collect())
+    assert sum(kept.values()) == 5 and kept[7, "y"] == 1 and kept[None, None] == 1
+    assert sum((t or "").split("\n").count("a") for _, t in kept) == 1 and {i for i, _ in kept} == {None, 0, 7}
 
 
 def test_model_learns(spark):
