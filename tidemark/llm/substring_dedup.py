@@ -178,9 +178,9 @@ def covered_spans(starts: np.ndarray, sizes: np.ndarray, length: int) -> list[tu
 
 
 def _counted(named: DataFrame, by: str, *home: str) -> tuple[DataFrame, DataFrame]:
-    """How often each hull is found under each core (or anchor) ``by``, at which place first; and of each ``by`` in all, and its rarest hull."""
+    """How often each hull is found under each core (or anchor) ``by``, at which place first; and how often each ``by`` that is found twice, and its rarest hull."""
     hulls = materialize(named.groupBy(by, "hull").agg(F.sum("weight").alias("found"), F.min(F.struct(*home)).alias("home")), "hulls")
-    return hulls, hulls.groupBy(by).agg(F.sum("found").alias("under"), F.min("found").alias("rarest"))
+    return hulls, materialize(hulls.groupBy(by).agg(F.sum("found").alias("under"), F.min("found").alias("rarest")).where("under > 1"), "totals")
 
 
 def repeated_windows(nodes: DataFrame, own: DataFrame, length: int) -> DataFrame:
@@ -190,12 +190,12 @@ def repeated_windows(nodes: DataFrame, own: DataFrame, length: int) -> DataFrame
     """
     weight = F.least("copies", F.lit(2)).cast("int").alias("weight")
     runs = nodes.select("node", weight, F.explode("runs").alias("r")).select("node", "weight", "r.*")
-    twice = runs.groupBy("anchor").agg(F.sum("weight").alias("under")).where("under > 1").select("anchor")
+    twice = materialize(runs.groupBy("anchor").agg(F.sum("weight").alias("under")).where("under > 1").select("anchor"), "twice")
     shared = materialize(runs.join(twice, "anchor"), "shared")
     hulls, anchors = _counted(shared, "anchor", "node", "start", "n", "at")
     needed = materialize(hulls.join(anchors.where("rarest = 1").select("anchor"), "anchor").select("home.*", F.least("found", F.lit(2)).cast("int").alias("weight")), "needed")
     out = materialize(shared.where("weight = 1").join(hulls.where("found > 1").select("anchor", "hull"), ["anchor", "hull"]).select("node", "start", "n"), "repeated")
-    free(shared, hulls)
+    free(twice, shared, hulls, anchors)
 
     places = needed.groupBy("node").agg(F.collect_list(F.struct("start", "n", "at", "weight")).alias("needed")).join(nodes.select("node", "same", "ref"), "node")
     texts = own.withColumn("ref", reference("doc_id")).join(places, ["same", "ref"]).dropDuplicates(["same", "ref"]).select("node", "text", "needed")
@@ -207,9 +207,9 @@ def repeated_windows(nodes: DataFrame, own: DataFrame, length: int) -> DataFrame
     for width in WIDTHS:
         blocks = materialize(_blocks(state, width, length), "blocks")
         hulls, cores = _counted(blocks, "core", "rid", "lo")
-        facts = materialize(hulls.join(cores.where("under > 1"), "core"), "facts")
+        facts = materialize(hulls.join(cores, "core"), "facts")
         judged = materialize(blocks.join(facts, ["core", "hull"]).drop("core", "hull"), "judged")
-        free(blocks, hulls, facts)
+        free(blocks, hulls, cores, facts)
         found = judged.where("weight = 1 and found > 1").select("node", (F.col("at") - F.col("hi")).alias("start"), (F.col("hi") - F.col("lo") + 1).alias("n"))
         out = out.unionByName(found)
         on = judged.where("rarest = 1 and (found = 1 or (home.rid = rid and home.lo = lo))")
@@ -238,8 +238,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     bytes have equal names.
 
     All counts are sums by name with partial sums before the shuffle; of equal rows one
-    goes on.  Joins give the counts back by name, and their results are written at once, so
-    that adaptive execution may split a name with very many rows.
+    goes on.  Joins give the counts back by name; both sides are tables and the result is
+    written at once, so that adaptive execution may split a name with very many rows.
 
     Null and empty texts, and those shorter than ``length``, keep all.  A repeated text
     of that length or longer loses all.  Rows with a null id are judged and counted as
