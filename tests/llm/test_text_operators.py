@@ -124,6 +124,22 @@ def test_bpe(docs, empty):
     assert bpe.encode_documents(empty, path, P.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize(("chunk", "row"), [(None, None), (20_000, 50)])
+def test_bpe_digests(spark, monkeypatch, chunk, row):
+    if chunk:  # many lists, many rows for the fold
+        monkeypatch.setattr(bpe, "CHUNK_CHARS", chunk)
+        monkeypatch.setattr(bpe, "ROW_WORDS", row)
+    path = tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    e = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(3)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    got = by_id(bpe.encode_documents(docs, path, P.PATTERN, digests=True))
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        ids = e.encode_ordinary(t)
+        assert tuple(got[i])[1:] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+
+
 def test_lines(docs, empty):
     got = {(r["doc_id"], r["n_lines"], r["n_deleted"]) for r in line_dedup.line_report(docs).collect()}
     assert (8, 12, 0) in got and (10, 12, 12) in got and (6, 1, 1) in got and (5, 1, 0) in got and (0, 0, 0) in got

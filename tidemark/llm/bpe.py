@@ -7,28 +7,34 @@ import hashlib
 import heapq
 import json
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import let, release_memory, small_batches
+from tidemark.session import materialize
 
 #: Buckets of the literal rank map; a byte string's bucket is its CRC-32 modulo this.
 BUCKETS = 1 << 16
 NO_RANK = (1 << 31) - 1
 #: Longer words are merged with a heap in the Arrow stage: the fold takes time with the square of the length.
 FOLD_BYTES = 48
-#: Characters of text whose distinct words make one row for the fold.
-CHUNK_CHARS = 12 << 20
-#: Bounds of the cache of frequent words: documents looked at, characters of each, and words.
-#: It saves folding these words in every chunk and changes no result.
-CACHE_DOCS, CACHE_CHARS, CACHE_WORDS = 6000, 20_000, 250_000
+#: Characters of text whose words get one list.
+CHUNK_CHARS = 32 << 20
+#: Parts by hash of each list; words of one part come together from all lists.
+DEALS = 1 << 12
+#: Distinct words that make one row for the fold, at least; four times as many at most.
+ROW_WORDS = 1 << 16
+#: Tasks that put the ids of chunks together, at most; with more chunks a task takes several in turn.
+MOST_TASKS = 100_000
 
 INTS = "array<int>"
 
@@ -134,18 +140,10 @@ def merge_with_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Indexed(dict):
-    """Word -> index: that in ``known``, else new ones in the order of first asking."""
-
-    def __init__(self, known: dict[str, int]):
-        super().__init__()
-        self.known, self.new = known, []
-
-    def __missing__(self, word: str) -> int:
-        n = self.known.get(word)
-        if n is None:
-            n = len(self.known) + len(self.new)
-            self.new.append(word)
-        self[word] = n
+    """Word -> index in the order of first asking."""
+
+    def __missing__(self, word):
+        n = self[word] = len(self)
         return n
 
 
@@ -162,102 +160,138 @@ def _gather(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> np.nda
     return values[np.arange(total) + np.repeat(offsets[rows] - ends + sizes, sizes)]
 
 
-def _frequent_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Frequent words of a bounded sample with their ids (flat, and offsets)."""
-    find, seen = regex.compile(pattern).findall, Counter()
-    for row in docs.where("text is not null").select(F.substring("text", 1, CACHE_CHARS)).take(CACHE_DOCS):
-        seen.update(find(row[0]))
-    words = [w for w, _ in seen.most_common(CACHE_WORDS) if len(w.encode()) <= FOLD_BYTES]
-    if not words:
-        return [], np.zeros(0, np.int32), np.zeros(1, np.int64)
-    spark, n = docs.sparkSession, 8192
-    rows = spark.createDataFrame([([w.encode() for w in words[i : i + n]], i) for i in range(0, len(words), n)], "words array<binary>, at int")
-    got = sorted(rows.select("at", encode_words(F.col("words"), ranks).alias("ids")).collect())  # CACHE_WORDS at most
-    ids = [i for r in got for i in r["ids"]]
-    return words, np.array([x for i in ids for x in i], np.int32), np.cumsum([0, *map(len, ids)])
-
-
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, digests: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Token ids of every whole text, without special tokens; with ``digests`` counts and hashes in their place.
-
-    Three narrow steps without a shuffle.  Texts are cut into words by ``pattern``; the
-    distinct words of each ``CHUNK_CHARS`` of text become one row, whose words the
-    merges are folded over with higher-order functions and a literal rank map; then ids
-    are put back in the order of the words.  Words over ``FOLD_BYTES`` are merged with a
-    heap.  Ids of frequent words come from a cache of fixed size, folded once.
+def _lists(texts: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """A row per chunk of text: its documents' words as places in a list of distinct words, and the list in parts by hash.
 
-    A null text is as an empty one: no ids.  Repeated rows give repeated rows, and an
-    empty table gives none.
+    The list has the words part by part, and at its end the long ones, whose ids stand beside.
     """
-    ranks = read_ranks(ranks_path)
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    frequent, *ids_of = _frequent_words(texts, ranks, pattern)
-    words_, ids_ = (spark.sparkContext.broadcast(x) for x in (frequent, ids_of))  # CACHE_WORDS at most
 
-    def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str]]]:
-        ids, texts, held = [], [], 0
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, ranks = regex.compile(pattern).findall, read_ranks(ranks_path)
+        part = TaskContext.get().partitionId()
+        made = 0
+
+        def row(index: _Indexed, ids: list, refs: list[np.ndarray]) -> pa.RecordBatch:
+            words = [w.encode() for w in index]
+            deal = np.fromiter((zlib.crc32(w) % DEALS if len(w) <= FOLD_BYTES else DEALS for w in words), np.int32, len(words))
+            order = np.argsort(deal, kind="stable")
+            place = np.empty(len(words), np.int32)
+            place[order] = np.arange(len(words), dtype=np.int32)
+            words, deal = [words[i] for i in order.tolist()], deal[order]
+            bounds = np.searchsorted(deal, np.arange(DEALS + 1)).tolist()
+            deals = [
+                {"deal": d, "sizes": bytes(map(len, words[a:b])), "data": b"".join(words[a:b])}
+                for d, (a, b) in enumerate(pairwise(bounds))
+                if a < b
+            ]
+            every = np.concatenate([place[r] for r in refs]) if refs else place[:0]
+            long = [merge_with_heap(w, ranks) for w in words[bounds[-1] :]]
+            return pa.RecordBatch.from_pydict(
+                {
+                    "chunk": pa.array([part << 32 | made], pa.int64()),
+                    "doc_id": pa.array([ids], pa.list_(pa.int64())),
+                    "sizes": pa.array([[len(r) for r in refs]], pa.list_(pa.int32())),
+                    "refs": pa.array([zstandard.compress(every.tobytes(), 1)], pa.binary()),
+                    "long": pa.array([long], pa.list_(pa.list_(pa.int32()))),
+                    "deals": pa.array([deals], pa.list_(pa.struct([("deal", pa.int32()), ("sizes", pa.binary()), ("data", pa.binary())]))),
+                }
+            )
+
+        index, ids, refs, held = _Indexed(), [], [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                texts.append(text.as_py() or "")
+                text = text.as_py() or ""
+                refs.append(np.fromiter(map(index.__getitem__, find(text)), np.int32))
                 ids.append(doc_id)
-                held += len(texts[-1])
+                held += len(text)
                 if held >= CHUNK_CHARS:
-                    yield ids, texts
-                    ids, texts, held = [], [], 0
+                    yield row(index, ids, refs)
+                    index, ids, refs, held, made = _Indexed(), [], [], 0, made + 1
+                    release_memory()
         if ids:
-            yield ids, texts
+            yield row(index, ids, refs)
 
-    small_batches(spark)
+    return texts.mapInArrow(split, "chunk long, doc_id array<bigint>, sizes array<int>, refs binary, long array<array<int>>, deals array<struct<deal:int,sizes:binary,data:binary>>")
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, known = regex.compile(pattern).findall, {w: i for i, w in enumerate(words_.value)}
-        merged = read_ranks(ranks_path)
-        for doc_ids, texts in chunks_of(batches):
-            index = _Indexed(known)
-            refs = [np.fromiter(map(index.__getitem__, find(text)), np.int32).tobytes() for text in texts]
-            words = [w.encode() for w in index.new]
-            long = [(i, merge_with_heap(w, merged)) for i, w in enumerate(words) if len(w) > FOLD_BYTES]
-            for i, _ in long:
-                words[i] = b""
-            del index
+
+def _folded(lists: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """Ids of the words in each part of each chunk's list; every word of the corpus is folded once."""
+    width = "<u2" if max(ranks.values()) < 1 << 16 else "<u4"
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, asked, last = _Indexed(), [], None
+
+        def row() -> pa.RecordBatch:
+            chunk, deal, refs = zip(*asked, strict=True)
+            cols = [pa.array([list(index)], pa.list_(pa.binary())), pa.array([chunk], pa.list_(pa.int64())), pa.array([deal], pa.list_(pa.int32())), pa.array([refs], pa.list_(pa.binary()))]
+            return pa.RecordBatch.from_arrays(cols, names=["words", "chunk", "deal", "refs"])
+
+        for batch in batches:
+            for chunk, deal, sizes, data in zip(*(batch.column(c).to_pylist() for c in ("chunk", "deal", "sizes", "data")), strict=True):
+                if len(index) >= (ROW_WORDS if deal != last else 4 * ROW_WORDS):
+                    yield row()
+                    index, asked = _Indexed(), []
+                last = deal
+                ends = accumulate(sizes, initial=0)
+                asked.append((chunk, deal, np.fromiter((index[data[a:b]] for a, b in pairwise(ends)), np.int32, len(sizes)).tobytes()))
+        if asked:
+            yield row()
+
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                flat, offsets = _flat(batch.column("ids").slice(k, 1).flatten())
+                rows = [np.frombuffer(r.as_buffer(), np.int32) for r in batch.column("refs")[k].values]
+                counts = np.diff(offsets).astype(np.uint8)
+                cols = [pa.array([counts[r].tobytes() for r in rows], pa.binary()), pa.array([_gather(flat, offsets, r).astype(width).tobytes() for r in rows], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column("chunk")[k].values, batch.column("deal")[k].values, *cols], names=["chunk", "deal", "counts", "ids"])
             release_memory()
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "words": pa.array([words], pa.list_(pa.binary())),
-                    "long_at": pa.array([[i for i, _ in long]], pa.list_(pa.int32())),
-                    "long_ids": pa.array([[x for _, x in long]], pa.list_(pa.list_(pa.int32()))),
-                    "doc_id": pa.array([doc_ids], pa.list_(pa.int64())),
-                    "refs": pa.array([refs], pa.list_(pa.binary())),
-                }
-            )
+
+    asked = lists.select("chunk", F.explode("deals").alias("d")).select("chunk", "d.*").repartition("deal").sortWithinPartitions("deal")
+    rows = asked.mapInArrow(gather, "words array<binary>, chunk array<bigint>, deal array<int>, refs array<binary>")
+    return rows.select(encode_words(F.col("words"), ranks).alias("ids"), "chunk", "deal", "refs").mapInArrow(give, "chunk long, deal int, counts binary, ids binary")
+
+
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, digests: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Token ids of every whole text, without special tokens; with ``digests`` counts and hashes in their place.
+
+    Texts are cut into words by ``pattern``, and each ``CHUNK_CHARS`` of text become a
+    list of distinct words and the places of its documents' words in it.  Parts of the
+    lists by a hash of the word come together, and the merges are folded over the
+    distinct words of the corpus with higher-order functions and a literal rank map.
+    The ids go back to the chunks that asked, where they are put in the order of the
+    words.  A part of a list is one packed row, so a word that is everywhere is a row
+    for each chunk.  Words over ``FOLD_BYTES`` are merged with a heap.
+
+    A null text is as an empty one: no ids.  Repeated rows give repeated rows, and an
+    empty table gives none.
+    """
+    ranks = read_ranks(ranks_path)
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    lists = materialize(_lists(texts, ranks_path, pattern), "lists")
+    width = "<u2" if max(ranks.values()) < 1 << 16 else "<u4"
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat0, offsets0 = ids_.value
         pieces = sorted(read_ranks(ranks_path).items(), key=lambda x: x[1])
         table = np.frombuffer(b"".join(p for p, _ in pieces), np.uint8)
         bounds = np.zeros(pieces[-1][1] + 2, np.int64)
         bounds[np.array([r for _, r in pieces]) + 1] = [len(p) for p, _ in pieces]
         bounds = np.cumsum(bounds)
         for batch in batches:
-            release_memory()
             for k in range(batch.num_rows):
-                flat, offsets = _flat(batch.column("ids").slice(k, 1).flatten())
-                flat = flat[offsets[0] : offsets[-1]]
-                sizes = np.diff(offsets)
-                at, late = batch.column("long_at")[k].as_py(), batch.column("long_ids")[k].as_py()
-                if at:  # rows of their own behind the others
-                    late_at = np.arange(len(sizes))
-                    late_at[at] = len(sizes) + np.arange(len(at))
-                    flat = np.concatenate([flat, np.array([x for i in late for x in i], np.int32)])
-                    sizes = np.concatenate([sizes, [len(i) for i in late]])
-                    late_at = np.concatenate([np.arange(len(offsets0) - 1), late_at + len(offsets0) - 1])
-                values = np.concatenate([flat0, flat])
-                every = np.concatenate([offsets0, offsets0[-1] + np.cumsum(sizes)])
-                out = []
-                for refs in batch.column("refs")[k].values:
-                    rows = np.frombuffer(refs.as_buffer(), np.int32)
-                    ids = _gather(values, every, late_at[rows] if at else rows)
+                parts = sorted(batch.column("parts")[k].as_py() or [], key=lambda p: p["deal"])
+                late = batch.column("long")[k].as_py()
+                flat = np.frombuffer(b"".join(p["ids"] for p in parts), width).astype(np.int32)
+                flat = np.concatenate([flat, np.array([x for i in late for x in i], np.int32)])
+                counts = np.concatenate([np.frombuffer(b"".join(p["counts"] for p in parts), np.uint8).astype(np.int64), np.array([len(i) for i in late], np.int64)])
+                every = np.concatenate([[0], np.cumsum(counts)])
+                refs = np.frombuffer(zstandard.decompress(batch.column("refs")[k].as_buffer()), np.int32)
+                del parts, counts
+                out, at = [], 0
+                for n in batch.column("sizes")[k].as_py():
+                    ids = _gather(flat, every, refs[at : at + n])
+                    at += n
                     if digests:
                         decoded = _gather(table, bounds, ids)
                         out.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.tobytes()).hexdigest()))
@@ -269,10 +303,12 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, digests: bo
                     yield pa.RecordBatch.from_arrays([doc_ids, *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string()), strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 else:
                     yield pa.RecordBatch.from_arrays([doc_ids, pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            release_memory()
 
-    chunks = texts.mapInArrow(split, "words array<binary>, long_at array<int>, long_ids array<array<int>>, doc_id array<bigint>, refs array<binary>")
-    folded = chunks.select(encode_words(F.col("words"), ranks).alias("ids"), "long_at", "long_ids", "doc_id", "refs")
-    return folded.mapInArrow(join, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>")
+    parts = _folded(lists, ranks).groupBy("chunk").agg(F.collect_list(F.struct("deal", "counts", "ids")).alias("parts"))  # of one chunk
+    n_tasks = max(1, min(lists.count(), MOST_TASKS))
+    whole = lists.drop("deals").repartition(n_tasks, "chunk").join(parts.repartition(n_tasks, "chunk").hint("merge"), "chunk", "left")
+    return whole.mapInArrow(join, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
