@@ -290,7 +290,7 @@ def test_fingerprints(docs, empty):
 def test_packing(docs, empty):
     path = tokenizer_path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    assert t.encode(TEXTS[17], add_special_tokens=False).ids[0] == 50256  # a special token in a text
     rows = packing.pack_documents(docs, path, 64).collect()
     for i, text in enumerate(TEXTS):
         if i == 5:
@@ -306,11 +306,40 @@ def test_packing(docs, empty):
     assert max(ends.values()) <= 64 and packing.pack_documents(empty, path, 64).count() == 0
 
 
+def held(bins):
+    return collections.Counter(x for i, n in bins.groups.items() for x in i * n)
+
+
+def fewest_bins(lengths, size):
+    """By trying all."""
+
+    def fits(rest, spaces):
+        if not rest:
+            return True
+        return any(fits(rest[1:], [*spaces[:i], x - rest[0], *spaces[i + 1 :]]) for i, x in enumerate(spaces) if x >= rest[0] and x not in spaces[:i])
+
+    return next(n for n in range(1, len(lengths) + 1) if fits(sorted(lengths, reverse=True), [size] * n))
+
+
 def test_local_search_empties_bins():
     counts = {6: 2, 4: 2, 5: 2, 3: 2, 2: 2}
-    bins = packing.local_search(packing.best_fit(counts, 10))
-    assert collections.Counter(x for i, n in bins.groups.items() for x in i * n) == collections.Counter(counts)
-    assert sum(bins.groups.values()) == 4
+    bins = packing.local_search(packing.best_fit(counts, 10, [2, 3, 4, 5, 6]))
+    assert held(bins) == collections.Counter(counts) and bins.count() == 4 and bins.exchanges > 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_local_search_on_random_lengths(seed):
+    rng = np.random.default_rng(seed)
+    few = collections.Counter(rng.integers(1, 60, 14).tolist())
+    bins = packing.pack_lengths(few, 64)
+    assert held(bins) == few and all(sum(i) <= 64 for i in bins.groups) and bins.count() == fewest_bins(list(few.elements()), 64)
+    many = collections.Counter(rng.integers(200, 600, 5000).tolist())
+    start = packing.best_fit(many, 1024, sorted(many, key=lambda n: n % 7))
+    before = start.count(), sum(sum(i) ** 2 * n for i, n in start.groups.items())
+    bins = packing.local_search(start)
+    assert held(bins) == many and all(sum(i) <= 1024 for i in bins.groups) and bins.exchanges > 100
+    assert bins.count() < before[0] and sum(sum(i) ** 2 * n for i, n in bins.groups.items()) > before[1]
+    assert bins.count() <= packing.best_fit(many, 1024).count()  # best fit decreasing
 
 
 def test_quality_rules(docs, empty):

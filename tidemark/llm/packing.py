@@ -6,7 +6,7 @@ import json
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -36,7 +36,8 @@ def encoder(path: str):
 
     Where the file is plain byte-level BPE whose merges have ids in their order, the
     same ids come several times faster from ranks of byte strings; else the file's
-    own tokenizer runs.  Strings of special tokens in a text are ordinary text.
+    own tokenizer runs.  Strings of special tokens in a text get their ids, as the library
+    gives them.
     """
     from tokenizers import Tokenizer
 
@@ -45,7 +46,8 @@ def encoder(path: str):
     model, pre = spec["model"], spec.get("pre_tokenizer") or {}
     merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model.get("merges") or []]
     vocab, letters = model.get("vocab") or {}, byte_letters()
-    special = {t["content"] for t in spec.get("added_tokens") or []}
+    added = spec.get("added_tokens") or []
+    special = {t["content"]: t["id"] for t in added}
     plain = (
         model.get("type") == "BPE"
         and pre.get("type") == "ByteLevel"
@@ -54,16 +56,16 @@ def encoder(path: str):
         and not spec.get("normalizer")
         and not any(model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix", "dropout", "ignore_merges", "byte_fallback"))
         and all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(merges))
+        and not any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
     )
     if plain:
         import public_tokenizers
         import tiktoken
 
         ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if t not in special}
-        fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: [fast.encode_ordinary(t) for t in texts]
+        fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        return lambda texts: [fast.encode(t, allowed_special="all") if any(x in t for x in special) else fast.encode_ordinary(t) for t in texts]
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     return lambda texts: [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -92,46 +94,80 @@ def token_pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0,
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
 
 
+class _Spaces:
+    """Groups of bins by their free space."""
+
+    def __init__(self):
+        self.groups: dict[int, dict[tuple[int, ...], None]] = {}
+        self.spaces: list[int] = []
+
+    def add(self, space: int, items: tuple[int, ...]) -> None:
+        if space not in self.groups:
+            self.groups[space] = {}
+            insort(self.spaces, space)
+        self.groups[space][items] = None
+
+    def drop(self, space: int, items: tuple[int, ...]) -> None:
+        del self.groups[space][items]
+        if not self.groups[space]:
+            del self.groups[space]
+            del self.spaces[bisect_left(self.spaces, space)]
+
+    def tightest(self, length: int) -> tuple[int, ...] | None:
+        """A group with the least space that ``length`` fits into."""
+        k = bisect_left(self.spaces, length)
+        return next(reversed(self.groups[self.spaces[k]])) if k < len(self.spaces) else None
+
+
 class Bins:
-    """Groups of equal bins: a bin's lengths in the order of placing, and how many bins there are."""
+    """Groups of equal bins: a bin's lengths, longest first, and how many bins there are.
+
+    Underfull groups are indexed by their space and by each length they hold (0 for
+    all), and ``most`` has the largest space beside each length.
+    """
 
     def __init__(self, size: int):
-        self.size, self.groups = size, {}
-        self.free: dict[int, list[tuple[int, ...]]] = {}
-        self.spaces: list[int] = []
+        self.size, self.exchanges = size, 0
+        self.groups: dict[tuple[int, ...], int] = {}
+        self.holding: dict[int, _Spaces] = {}
+        self.most = np.full(size + 1, -1, np.int64)
 
     def add(self, items: tuple[int, ...], n: int) -> None:
         if not n or not items:
             return
-        if items in self.groups:
-            self.groups[items] += n
-            return
-        self.groups[items] = n
+        self.groups[items] = self.groups.get(items, 0) + n
         space = self.size - sum(items)
-        if space not in self.free:
-            self.free[space] = []
-            insort(self.spaces, space)
-        self.free[space].append(items)
+        if space and self.groups[items] == n:
+            for length in {0, *items}:
+                self.holding.setdefault(length, _Spaces()).add(space, items)
+                self.most[length] = self.holding[length].spaces[-1]
 
     def take(self, items: tuple[int, ...], n: int) -> None:
         self.groups[items] -= n
         if not self.groups[items]:
             del self.groups[items]
             space = self.size - sum(items)
-            self.free[space].remove(items)
-            if not self.free[space]:
-                del self.free[space]
-                self.spaces.remove(space)
+            for length in {0, *items} if space else ():
+                held = self.holding[length]
+                held.drop(space, items)
+                self.most[length] = held.spaces[-1] if held.spaces else -1
 
-    def tightest(self, length: int) -> tuple[int, ...] | None:
-        k = bisect_left(self.spaces, length)
-        return self.free[self.spaces[k]][-1] if k < len(self.spaces) else None
+    def tightest(self, length: int, beside: int = 0) -> tuple[int, ...] | None:
+        held = self.holding.get(beside)
+        return held and held.tightest(length)
+
+    def count(self) -> int:
+        return sum(self.groups.values())
+
+    def least(self) -> int:
+        """No packing of these lengths has fewer bins."""
+        return -(-sum(sum(i) * n for i, n in self.groups.items()) // self.size)
 
 
-def best_fit(counts: dict[int, int], size: int) -> Bins:
-    """Best-fit decreasing over a histogram of lengths: equal bins are filled together."""
+def best_fit(counts: dict[int, int], size: int, order: Iterable[int] | None = None) -> Bins:
+    """Best fit over a histogram of lengths in the given order (else the longest first): equal bins are filled together."""
     bins = Bins(size)
-    for length in sorted(counts, reverse=True):
+    for length in order or sorted(counts, reverse=True):
         left = counts[length]
         while left:
             target = bins.tightest(length)
@@ -140,32 +176,11 @@ def best_fit(counts: dict[int, int], size: int) -> Bins:
             n = left // each if target is None else min(left // each, bins.groups[target])
             if target is not None:
                 bins.take(target, n)
-            bins.add((target or ()) + (length,) * each, n)
+            bins.add(tuple(sorted((target or ()) + (length,) * each, reverse=True)), n)
             left -= n * each
     return bins
 
 
-def _gains(source: tuple[int, ...], other: tuple[int, ...], space: int) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
-    """The exchange that moves most tokens from ``source`` into ``other``: what goes and what comes back."""
-    best = None
-    mine = sorted(set(source), reverse=True)
-    theirs = sorted(set(other))
-    pairs = {a + b: (a, b) for i, a in enumerate(source) for b in source[i + 1 :]}
-    for gone in [(a,) for a in mine] + list(pairs.values()):
-        if sum(gone) <= space and (best is None or sum(gone) > best[0]):
-            best = (sum(gone), gone, ())  # a move
-        for b in theirs:  # one for one, two for one
-            gain = sum(gone) - b
-            if 0 < gain <= space and (best is None or gain > best[0]):
-                best = (gain, gone, (b,))
-    back = {a + b: (a, b) for i, a in enumerate(other) for b in other[i + 1 :]}
-    for a in mine:  # one for two
-        for total, two in back.items():
-            if 0 < a - total <= space and (best is None or a - total > best[0]):
-                best = (a - total, (a,), two)
-    return best
-
-
 def _swap(items: tuple[int, ...], out: tuple[int, ...], into: tuple[int, ...]) -> tuple[int, ...]:
     rest = Counter(items)
     rest.subtract(out)
@@ -173,52 +188,66 @@ def _swap(items: tuple[int, ...], out: tuple[int, ...], into: tuple[int, ...]) -
     return tuple(sorted(rest.elements(), reverse=True))
 
 
-def local_search(bins: Bins, patience: int = 200_000) -> Bins:
-    """Empty bins by exchanges between underfull ones while the least number of bins isn't reached.
+def _exchange(bins: Bins, source: tuple[int, ...]) -> tuple[tuple[int, ...], tuple[int, ...], int] | None:
+    """The best exchange of ``source`` with another underfull bin: which, what goes there, and what comes back (0: nothing).
 
-    The least filled bin gives to others: a document moves, or is exchanged for one,
-    or two for one, or one for two, always towards the fuller bin, so the sum of
-    squared fills grows with each step and the search ends.  A bin without documents
-    is gone.  ``patience`` bounds the pairs of bin groups looked at; what it stops is
-    only improvement, every document stays placed.
+    One or two documents go and one or none comes back, such that the other bin gains
+    and ends fuller than ``source`` was, which makes the sum of squared fills grow.
     """
-    total = sum(sum(i) * n for i, n in bins.groups.items())
-    least = -(-total // bins.size)
-    looks = 0
-    stuck: set[tuple[int, ...]] = set()
-    while sum(bins.groups.values()) > least and looks < patience:
-        sources = [i for s in reversed(bins.spaces) if s for i in bins.free[s] if i not in stuck]
-        if not sources:
-            break
-        source = sources[0]
-        best = None
-        for space in bins.spaces:
-            if not space or size_of(source) > bins.size - space and best:
-                continue
-            for other in bins.free[space]:
-                if other == source and bins.groups[source] < 2 or sum(other) < sum(source):
-                    continue
-                looks += 1
-                gain = _gains(source, other, space)
-                if gain and (best is None or gain[0] > best[0][0]):
-                    best = (gain, other)
-            if best and best[0][0] == sum(source):
-                break
-        if best is None:
-            stuck.add(source)
-            continue
-        (_, gone, back), other = best
-        n = 1 if other == source else min(bins.groups[source], bins.groups[other])
-        bins.take(source, n)
-        bins.take(other, n)
-        bins.add(_swap(source, gone, back), n)
-        bins.add(_swap(other, back, gone), n)
-        stuck.clear()
+    fill, best, found = sum(source), 0, None
+    pairs = {a + b: (a, b) for i, a in enumerate(source) for b in source[i + 1 :]}
+    for total, gone in sorted(({a: (a,) for a in source} | pairs).items(), reverse=True):
+        back = np.arange(min(total, bins.size))
+        for b in np.flatnonzero(bins.most[: len(back)] >= total - back)[:4].tolist():  # what gains most; fuller bins may come later
+            other = bins.tightest(total - b, b)
+            worth = (total - b) * (sum(other) + total - b - fill)
+            if worth > best:
+                best, found = worth, (other, gone, b)
+    return found
+
+
+def local_search(bins: Bins) -> Bins:
+    """Empty bins by exchanges between underfull ones, until none is left that helps or no fewer bins are possible.
+
+    Bins give from the least filled on: a document moves to another bin, or is exchanged
+    for one, or two for one (``_exchange``).  Equal bins do so together.  Each exchange
+    raises the sum of squared fills, so the search ends; a bin without documents is gone.
+    """
+    least, count = bins.least(), bins.count()
+    changed = True
+    while changed and count > least:
+        changed = False
+        for source in [x for s in reversed(bins.holding[0].spaces) for x in bins.holding[0].groups[s]] if 0 in bins.holding else []:
+            while source in bins.groups and count > least:
+                bins.take(source, 1)
+                found = _exchange(bins, source)
+                bins.add(source, 1)
+                if not found:
+                    break
+                other, gone, b = found
+                n = 1 if other == source else min(bins.groups[source], bins.groups[other])
+                back = (b,) if b else ()
+                bins.take(source, n)
+                bins.take(other, n)
+                rest = _swap(source, gone, back)
+                bins.add(rest, n)
+                bins.add(_swap(other, back, gone), n)
+                bins.exchanges += n
+                changed = True
+                if not rest:
+                    count -= n
+                elif source not in bins.groups:
+                    source = rest
     return bins
 
 
-def size_of(items: tuple[int, ...]) -> int:
-    return sum(items)
+def pack_lengths(counts: dict[int, int], size: int) -> Bins:
+    """Bins for a histogram of lengths: swaps from best fit over unsorted lengths, and, where that leaves more than the least, from sorted ones too."""
+    scrambled = sorted(counts, key=lambda n: n * 0x9E3779B1 % (1 << 32))
+    bins = local_search(best_fit(counts, size, scrambled))
+    if bins.count() > bins.least():
+        bins = min(local_search(best_fit(counts, size)), bins, key=Bins.count)
+    return bins
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,8 +255,8 @@ def pack_documents(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0
 
     Only documents longer than ``size`` are cut (see ``token_pieces``).  What is packed
     is the histogram of piece lengths, at most ``size`` rows, so the driver's work does
-    not grow with the corpus and yet the packing is one for all of it: best fit puts
-    equal bins together, then ``local_search`` exchanges pieces between underfull bins.
+    not grow with the corpus and yet the packing is one for all of it: best fit over
+    lengths in no order starts it, and ``local_search`` exchanges pieces between underfull bins.
     The k-th piece of a length takes the k-th place of that length.  Places are counted
     in groups of about ``RANK_ROWS`` rows with offsets, so a length that a third of all
     pieces have is no single task.
@@ -238,7 +267,7 @@ def pack_documents(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0
     spark = docs.sparkSession
     pieces = materialize(token_pieces(docs, path, size, end_id, id_col, text_col), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `size` rows
-    bins = local_search(best_fit(counts, size))
+    bins = pack_lengths(counts, size)
 
     places: dict[int, list[tuple[int, int, int]]] = {n: [] for n in counts}
     dealt = Counter()
