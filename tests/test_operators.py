@@ -1,7 +1,9 @@
 """Small cases with known results."""
 
+import base64
 import json
 import sqlite3
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.checksums import crc32c, crc32c_bytes
 from tidemark.model import ROW
 from tidemark.operators import asof, integrity, normalize, seal, series, stores
-from tidemark.plans.archive import Archive
+from tidemark.plans.archive import Archive, Conflict
 from tidemark.sources.hot import read_hot
 
 VERSIONS = [("a", 1, 1000, "a-v1"), ("b", 2, 2000, "b-v1"), ("c", 3, 3000, "c-v1"), ("b", 4, 4000, "b-v2"), ("d", 5, 5000, "d-v1"), ("a", 6, 6000, "a-v2")]
@@ -123,7 +125,137 @@ def test_archive(spark, tmp_path):
     with pytest.raises(PermissionError):
         Archive(spark, a.root, read_only=True).merge()
     back = Archive(spark, str(tmp_path / "b"))
-    assert a.restore(back)["sealed"] == 60
+    assert a.restore(back) == {"chunks": n, "rows": 60} and a.restore(back) == {"chunks": 0, "rows": 0}
+
+
+def feed_rows(spark, n, device="d", first=1, body="b", table="log"):
+    rows = [(device, i, 1_700_000_000_000 + i, f"{device}-{i:04d}", table, body if len(body) > 9 else f"{body}{i}", False, i) for i in range(first, first + n)]
+    return spark.createDataFrame(rows, "device_id string, seq long, ts long, id string, table string, body string, malformed boolean, pos long")
+
+
+@pytest.fixture()
+def archive(spark, tmp_path):
+    return Archive(spark, str(tmp_path / "a"))
+
+
+def other(archive, name):
+    return Archive(archive.spark, archive.root[:-1] + name)
+
+
+def test_photos_are_stored(spark, archive):
+    data = bytes(range(256)) * 1200
+    text = base64.encodebytes(data).decode()
+    assert archive.seal(feed_rows(spark, 2, body=text, table="photo"))["sealed"] == 2
+    archive.seal(feed_rows(spark, 1, device="e", body=text))
+    refs = {r["body"] for r in archive.rows().collect()}
+    assert len(refs) == 1 and archive.photos().count() == 1
+    ref = refs.pop()
+    assert archive.photo(ref) == data and [r["status"] for r in archive.photo_audit().collect()] == ["ok"]
+    relay = other(archive, "r")
+    archive.ship(relay, blobs=True)
+    assert relay.photo(ref) == data
+    archive._delete("photos")
+    with pytest.raises(FileNotFoundError):
+        archive.photo(ref)
+    archive.repair(relay)
+    assert archive.photo(ref) == data
+    with pytest.raises(ValueError):
+        archive.photo("photo:sha256:x")
+
+
+def test_replay_after_a_lost_commit(spark, archive, monkeypatch):
+    rows = feed_rows(spark, 10)
+    with monkeypatch.context() as m:
+        m.setattr(Archive, "_commit", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("driver lost")))
+        with pytest.raises(RuntimeError):
+            archive.seal(rows)
+    assert archive.rows().count() == 0
+    assert archive.seal(rows)["sealed"] == 10 and archive.seal(rows) == {"sealed": 0, "skipped": 10, "malformed": 0}
+    assert archive.rows().count() == 10
+    found = archive.sweep(apply=True)  # nobody took the lost rows: they stay
+    assert found["deletable"] == [] and len(found["kept"]) == 1 and archive._read("warm").count() == 20
+    relay = other(archive, "r")
+    archive.ship(relay)
+    assert len(archive.sweep(apply=True)["deletable"]) == 1 and archive._read("warm").count() == archive.rows().count() == 10
+
+
+def test_each_relay_gets_all(spark, archive):
+    archive.seal(feed_rows(spark, 5))
+    archive.seal(feed_rows(spark, 5, first=6))
+    for name in ("r", "s"):
+        relay = other(archive, name)
+        assert archive.ship(relay) == {"ship": 2} and archive.ship(relay) == {"already-acked": 2} and relay.rows().count() == 10
+    assert archive.acks.count() == 4 and archive.acks.select("relay").distinct().count() == 2
+
+
+def test_repair_replaces(spark, archive):
+    archive.seal(feed_rows(spark, 5))
+    relay = other(archive, "r")
+    archive.ship(relay)
+    file = archive.chunks.first()["file"]
+    folder = "warm/" + "/".join(f"{c}={v}" for c, v in zip(("batch", "lane", "month", "part"), file.split("/"), strict=True))
+    for damage in ("changed", "lost", "flagged", "lost"):
+        if damage == "flagged":
+            archive.quarantine([file])
+        else:
+            archive._delete(folder)
+        if damage == "changed":
+            wrong = feed_rows(spark, 5, body="x")
+            for c, v in zip(("batch", "lane", "month", "part"), file.split("/"), strict=True):
+                wrong = wrong.withColumn(c, F.lit(v))
+            archive._write(wrong, "warm")
+        assert [r["status"] for r in archive.verify()[0].collect()] == [{"changed": "CORRUPT", "lost": "MISSING", "flagged": "QUARANTINED"}[damage]]
+        assert archive.repair(relay) == {"repaired": 1, "left": 0}
+        assert [r["status"] for r in archive.verify()[0].collect()] == ["OK"]
+        assert sorted(r["body"] for r in archive.rows().collect()) == [f"b{i}" for i in range(1, 6)]
+
+
+def test_migrate_keeps_what_was_decided(spark, archive):
+    for i in range(3):
+        archive.seal(feed_rows(spark, 4, first=1 + 4 * i))
+    archive.ship(other(archive, "r"))
+    files = sorted(r["file"] for r in archive.chunks.collect())
+    archive.forget(files[:1])
+    archive.quarantine(files[1:2])
+    assert archive.migrate()["chunks"] == 2
+    assert {r["file"]: r["quarantined"] for r in archive.chunks.collect()} == {files[1]: True, files[2]: False}
+    archive._delete("manifest")
+    assert archive.migrate()["chunks"] == 3 and archive.seal(feed_rows(spark, 12))["sealed"] == 0
+
+
+def test_restore_below_a_mark(spark, archive):
+    archive.seal(feed_rows(spark, 10))
+    archive.merge()
+    back = other(archive, "b")
+    back.seal(feed_rows(spark, 1, first=50))
+    assert archive.restore(back) == {"chunks": 1, "rows": 10} and back.rows().count() == 11
+    assert back.find("d-0003").first()["body"] == "b3"
+
+
+def test_one_writer_wins(spark, archive):
+    archive.seal(feed_rows(spark, 3))
+    before = archive._generation()
+    archive.quarantine([])
+    with pytest.raises(Conflict):
+        archive._commit(before, catalog=archive.chunks)
+    assert archive.rows().count() == 3
+
+
+def test_unreadable_manifest(spark, archive):
+    archive.seal(feed_rows(spark, 3))
+    fs, p = archive._fs(f"{archive.root}/manifest/00000002.json")
+    fs.create(p, False).close()  # a writer that was lost
+    assert archive.rows().count() == 3 and archive.seal(feed_rows(spark, 2, first=4))["sealed"] == 2
+    assert archive.rows().count() == 5
+
+
+def test_chunks_are_bounded(spark, archive):
+    assert archive.seal(feed_rows(spark, 200), target_bytes=2000)["sealed"] == 200
+    got = archive.chunks.collect()
+    assert len(got) > 5 and max(r["bytes"] for r in got) < 2200 and sum(r["rows"] for r in got) == 200
+    assert archive.find("d-0150").first()["body"] == "b150" and archive.find("nothing").isEmpty()
+    size = max(f.stat().st_size for f in Path(archive.root, "warm").rglob("*.parquet"))
+    assert size < 100_000  # Bloom filters of the chunk's own size
 
 
 def test_sqlite(spark, tmp_path):

@@ -6,6 +6,8 @@ import argparse
 import json
 import shutil
 import sys
+import time
+from pathlib import Path
 
 from tidemark.plans.archive import Archive
 from tidemark.session import local_session
@@ -33,7 +35,7 @@ def parser() -> argparse.ArgumentParser:
     add("ship", "relay", blobs=bool)
     add("p2p-sync", "peer")
     add("forget", "files")
-    add("gc", apply=bool)
+    add("gc", relay=str, apply=bool)
     add("coldg")
     add("repair", "relay")
     add("restore-from-cold", "target")
@@ -45,7 +47,7 @@ def run(spark, a: argparse.Namespace) -> tuple[list[dict], int]:
     archive = Archive(spark, a.root)
     rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
     if a.command == "seal":
-        return [archive.seal(read_hot(spark, a.hot, a.table or "log").drop("_p", "_r"), a.max_rows)], 0
+        return [archive.seal(read_hot(spark, a.hot, a.table or "log", int(time.time() * 1000)), a.max_rows)], 0
     if a.command in ("find", "find-cold"):
         found = rows(archive.find(a.key) if a.command == "find" else archive.find_cold(a.key))
         return found, 0 if found else 1
@@ -59,7 +61,7 @@ def run(spark, a: argparse.Namespace) -> tuple[list[dict], int]:
     if a.command == "status":
         return rows(archive.status()), 0
     if a.command == "check":
-        found = rows(archive.alerts(shutil.disk_usage("/").free >> 20))
+        found = rows(archive.alerts(shutil.disk_usage(a.root if Path(a.root).is_dir() else "/").free >> 20))
         return found, {"ok": 0, "warn": 1, "critical": 2}[found[0]["level"]]
     if a.command == "merge":
         return [{"merged": archive.merge()}], 0
@@ -68,14 +70,16 @@ def run(spark, a: argparse.Namespace) -> tuple[list[dict], int]:
     if a.command == "ship":
         return [archive.ship(Archive(spark, a.relay), a.blobs)], 0
     if a.command == "p2p-sync":
-        return [Archive(spark, a.peer).ship(archive, True)], 0
+        peer = Archive(spark, a.peer)
+        return [{"pulled": peer.ship(archive, True), "pushed": archive.ship(peer, True)}], 0
     if a.command == "repair":
-        return [Archive(spark, a.relay).ship(archive, True)], 0
+        done = archive.repair(Archive(spark, a.relay))
+        return [done], int(done["left"] > 0)
     if a.command == "forget":
         archive.forget(a.files.split(","))
         return [], 0
     if a.command == "gc":
-        return [{"dead": archive.sweep(a.apply)}], 0
+        return [archive.sweep(a.apply, Archive(spark, a.relay) if a.relay else None)], 0
     if a.command == "coldg":
         from tidemark.operators.lifecycle import cold_liveness
 

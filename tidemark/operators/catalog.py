@@ -11,9 +11,12 @@ from tidemark.functions.scalars import bloom_positions, month_of
 def chunk_entries(rows: DataFrame, bloom: bool = False) -> DataFrame:
     """A catalog row for each ``file`` of the rows: ranges, counts, a content hash and, if asked for, a Bloom filter.
 
-    The content hash is a sum over rows, so chunks aren't sorted or gathered for it.
+    The content hash is made of sums of the rows' SHA-256 in four parts, so chunks aren't
+    sorted or gathered for it, and the order of rows doesn't count.
     """
-    digest = F.xxhash64("device_id", "seq", "ts", "id", "table", "body")
+    columns = [F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in ("device_id", "seq", "ts", "id", "table", "body")]
+    rows = rows.withColumn("_row", F.sha2(F.concat_ws(",", *columns), 256))
+    parts = [F.sum(F.conv(F.substring("_row", 1 + 16 * i, 16), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(4)]
     entries = rows.groupBy("file", "table").agg(
         F.min("seq").alias("seq_min"),
         F.max("seq").alias("seq_max"),
@@ -21,7 +24,7 @@ def chunk_entries(rows: DataFrame, bloom: bool = False) -> DataFrame:
         F.max("ts").alias("ts_max"),
         F.count("*").alias("rows"),
         F.sum(F.octet_length("body") + F.octet_length("id") + F.octet_length("device_id") + 48).cast("bigint").alias("bytes"),
-        F.sha2(F.concat_ws(":", F.expr("bit_xor(xxhash64(device_id, seq, ts, id, `table`, body))").cast("string"), F.sum(digest.cast("decimal(38,0)")).cast("string"), F.count("*").cast("string")), 256).alias("sha256"),
+        F.sha2(F.concat_ws(":", *parts, F.count("*").cast("string")), 256).alias("sha256"),
         F.min("id").alias("min_key"),
         F.max("id").alias("max_key"),
     )

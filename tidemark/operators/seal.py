@@ -57,8 +57,8 @@ def running_total(rows: DataFrame, by: list[str], order: str, value: str, span:
     return rows.withColumn("_part", part).withColumn("_w", within).join(before, [*by, "_part"]).withColumn(name, F.col("_before") + F.col("_w")).drop("_part", "_w", "_before")
 
 
-def pack(rows: DataFrame, target_bytes: int, span: int = 4096) -> DataFrame:
-    """Rows of a table in runs of about ``target_bytes``: ``chunk_no`` counts the targets filled before a row."""
+def pack(rows: DataFrame, target_bytes: int, span: int = 4096, by: list[str] | None = None) -> DataFrame:
+    """Rows of a table (or of each group of ``by``) in runs of about ``target_bytes``: ``chunk_no`` counts the targets filled before a row."""
     size = (F.octet_length("body") + F.octet_length("id") + F.octet_length("device_id") + 48).cast("long")
     sized = rows.withColumn("row_bytes", size)
-    return running_total(sized, ["table"], "seq", "row_bytes", span).withColumn("chunk_no", F.expr(f"(upto - row_bytes) div {target_bytes}")).drop("upto")
+    return running_total(sized, by or ["table"], "seq", "row_bytes", span).withColumn("chunk_no", F.expr(f"(upto - row_bytes) div {target_bytes}")).drop("upto")

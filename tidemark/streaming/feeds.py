@@ -13,8 +13,8 @@ from tidemark.plans.archive import Archive
 def seal_stream(spark: SparkSession, hot_dir: str, archive: Archive, checkpoint: str, files_per_trigger: int = 1000) -> StreamingQuery:
     """Seal new files of JSON lines as they come; the marks of devices, not event time, decide what is late.
 
-    A batch that runs again after a failure seals nothing twice, as rows at or below a
-    device's mark are skipped.
+    A batch that runs again after a failure seals nothing twice: catalog and marks are one
+    generation, and rows at or below a device's mark are skipped.
     """
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(hot_dir)
     seal = lambda batch, _: archive.seal(normalize(batch.withColumn("pos", F.monotonically_increasing_id()).where(F.trim("value") != ""), "value").drop("value"))
