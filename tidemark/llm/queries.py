@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, fingerprints, line_dedup, near_dedup, packing, quality_model, quality_rules, secrets, sharding, substring_dedup
+from tidemark.llm import bpe, fingerprints, line_dedup, near_dedup, oracle, packing, quality_model, quality_rules, secrets, sharding, substring_dedup
 from tidemark.llm.common import table
 
+oracle_sql = oracle.oracle_sql
+
 
 def tokenizer_path(name: str) -> str:
     """A file of the public tokenizers that the machine offers; workers have it at the same place."""
@@ -61,7 +63,3 @@ def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
