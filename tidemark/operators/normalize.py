@@ -37,7 +37,9 @@ def normalize(records: DataFrame, column: str = "value", fallback_table: str = "
     Null and blank texts give malformed rows; blank lines are for the caller to skip.
     """
     text = F.regexp_replace(F.col(column), "^" + chr(0xFEFF), "")
-    parsed = records.withColumn("_r", F.from_json(text, _SCHEMA)).withColumn("_p", F.when(F.col("_r.payload").startswith("{"), F.from_json("_r.payload", _SCHEMA)))
+    payload = F.when(F.col("_r.payload").startswith("{"), F.from_json("_r.payload", _SCHEMA))
+    # each text is parsed once: a projection would be folded into every use of a parsed value, a generator isn't
+    parsed = records.select("*", F.explode(F.array(F.from_json(text, _SCHEMA))).alias("_r")).select("*", F.explode(F.array(payload)).alias("_p"))
     own, inner = (lambda k: F.col(f"_r.`{k}`")), (lambda k: F.col(f"_p.`{k}`"))
     seq = to_int(_first(own, SEQ_KEYS))
     ts_text = _first(own, TS_KEYS)

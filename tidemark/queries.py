@@ -470,37 +470,39 @@ def bundle_pack(spark, d):
     return stores.pack_bundles(table(spark, d, "conversations").withColumn("name", F.format_string("%05d", "turn")), "conv_id", "name", "text")
 
 
+#: Returned lines alone are uses for ``claim_reconcile``, so that some claims have none.
+RETURNED = "l_returnflag <> 'N'"
 CLAIMS = """WITH c AS (SELECT 't-' || substr(sha256((o_orderkey % 1000) || ':' || epoch_ms(o_orderdate) || ':' || o_custkey || '-' || o_orderkey), 1, 20) AS claim, o_orderkey, epoch_ms(o_orderdate) + 900000 AS expires_at, epoch_ms(o_orderdate) AS issued FROM orders),
- a AS (SELECT l_orderkey * 10 + l_linenumber AS attempt, CASE WHEN l_linenumber = 5 THEN 't-none' ELSE claim END AS claim, issued + l_linenumber * 200000 + l_orderkey % 7 AS used_at FROM lineitem JOIN c ON l_orderkey = o_orderkey WHERE l_orderkey % 3 = 0),
+ a AS (SELECT l_orderkey * 10 + l_linenumber AS attempt, CASE WHEN l_linenumber = 5 THEN 't-none' ELSE claim END AS claim, issued + l_linenumber * 200000 + l_orderkey % 7 AS used_at FROM lineitem JOIN c ON l_orderkey = o_orderkey WHERE {uses}),
  j AS (SELECT a.*, CASE WHEN c.claim IS NULL THEN 'unknown' WHEN used_at > expires_at THEN 'expired' END AS fate FROM a LEFT JOIN c USING (claim)),
  o AS (SELECT attempt, claim, coalesce(fate, CASE WHEN row_number() OVER (PARTITION BY claim, fate IS NULL ORDER BY used_at, attempt) = 1 THEN 'ok' ELSE 'double-use' END) AS outcome FROM j) """
 
 
-def _claims(spark, d):
+def _claims(spark, d, uses="true"):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     ms = F.expr("cast(floor(unix_micros(cast(o_orderdate as timestamp)) / 1000) as bigint)")
     orders = table(spark, d, "orders").withColumn("issued", ms)
     nonce = F.concat_ws("-", F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string"))
     claims = orders.select("o_orderkey", scalars.claim_id(F.col("o_orderkey") % 1000, F.col("issued"), nonce).alias("claim"), (F.col("issued") + stores.CLAIM_TTL_MS).alias("expires_at"), "issued")
-    lines = table(spark, d, "lineitem").where("l_orderkey % 3 = 0").join(claims, F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = table(spark, d, "lineitem").where(uses).join(claims, F.col("l_orderkey") == F.col("o_orderkey"))
     attempts = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("attempt"), F.when(F.col("l_linenumber") == 5, "t-none").otherwise(F.col("claim")).alias("claim"), (F.col("issued") + F.col("l_linenumber") * 200000 + F.col("l_orderkey") % 7).alias("used_at"))
     return claims, attempts
 
 
-@query(CLAIMS + "SELECT o_orderkey, claim, expires_at FROM c")
+@query(CLAIMS.format(uses="true") + "SELECT o_orderkey, claim, expires_at FROM c")
 def claim_ids(spark, d):
     return _claims(spark, d)[0].select("o_orderkey", "claim", "expires_at")
 
 
-@query(CLAIMS + "SELECT * FROM o")
+@query(CLAIMS.format(uses="true") + "SELECT * FROM o")
 def claim_use(spark, d):
     return stores.use_claims(*_claims(spark, d))
 
 
-@query(CLAIMS + """, u AS (SELECT claim, bool_or(outcome = 'double-use') AS double FROM o WHERE outcome IN ('ok', 'double-use') GROUP BY 1), s AS (SELECT claim, true AS s FROM c WHERE o_orderkey % 4 <> 0), f AS (SELECT claim, double, s FROM u FULL JOIN s USING (claim))
+@query(CLAIMS.format(uses=RETURNED) + """, u AS (SELECT claim, bool_or(outcome = 'double-use') AS double FROM o WHERE outcome IN ('ok', 'double-use') GROUP BY 1), s AS (SELECT claim, true AS s FROM c WHERE o_orderkey % 4 <> 0), f AS (SELECT claim, double, s FROM u FULL JOIN s USING (claim))
  SELECT claim, 'double' AS kind FROM f WHERE double UNION ALL SELECT claim, 'local' FROM f WHERE double IS NOT NULL AND s IS NULL UNION ALL SELECT claim, 'remote' FROM f WHERE double IS NULL UNION ALL SELECT claim, 'clean' FROM f WHERE NOT double AND s""")
 def claim_reconcile(spark, d):
-    claims, attempts = _claims(spark, d)
+    claims, attempts = _claims(spark, d, RETURNED)
     return stores.reconcile(stores.use_claims(claims, attempts), claims.where("o_orderkey % 4 <> 0"))
 
 
