@@ -150,11 +150,6 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return least / most if most else 0.0
 
 
-def _short(key):
-    """32 bits of a band's key, by which common bands are found."""
-    return F.shiftright(key, 32).cast("int")
-
-
 def _verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) whose multisets overlap enough."""
 
@@ -205,8 +200,8 @@ def _classes(docs: DataFrame, similarity: float = 0.8, k: int = 5, id_col: str =
 
     weights = materialize(few_files(_shared_weight(bags)), "weights")
     least = similarity / (1 + similarity)  # of both sizes together must be in common
-    short = nodes.select("node", F.transform("bands", _short).alias("bands"), "registers")
-    linkable = weights.where(F.col("shared") >= similarity * F.col("size") - 1e-9).join(short, "node")
+    signatures = nodes.select("node", "bands", "registers")
+    linkable = weights.where(F.col("shared") >= similarity * F.col("size") - 1e-9).join(signatures, "node")
     start = materialize(few_files(buckets.join(linkable, "node")), "buckets")
     discard(buckets, weights)
     buckets = start
@@ -217,18 +212,23 @@ def _classes(docs: DataFrame, similarity: float = 0.8, k: int = 5, id_col: str =
     columns = ["key", "node", "size", "shared", "bands", "registers"]
     while True:
         labelled = buckets.join(labels, "node", "left").select(*columns, F.coalesce("label", "node").alias("label"))
-        open_keys = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
+        open_keys = materialize(few_files(labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")), "keys")
+        left = materialize(few_files(labelled.join(open_keys, "key").select(*columns, "label")), "buckets")
+        discard(buckets, open_keys)
         order = W.partitionBy("key").orderBy(F.desc(F.col("shared") / F.col("size")), "node")
-        left = materialize(few_files(labelled.join(open_keys, "key").select(*columns, "label", F.row_number().over(order).alias("place"))), "buckets")
-        discard(buckets)
-        first = left.where(F.col("place") <= width).select(*[F.col(c).alias(f"{c}2") for c in (*columns, "label", "place")])
+        # each task sends no more than ``width`` nodes of a bucket on to the window
+        first = materialize(few_files(left.withColumn("place", F.row_number().over(order)).where(F.col("place") <= width)), "hubs")
+        placed = materialize(few_files(left.join(first.select("key", "node", "place"), ["key", "node"], "left")), "buckets")
+        discard(left)
+        hubs = first.select(*[F.col(c).alias(f"{c}2") for c in (*columns, "label", "place")])
         enough = F.least("shared", "shared2") >= least * (F.col("size") + F.col("size2")) - 1e-9
-        here = F.get(F.array_intersect("bands", "bands2"), F.lit(0)) == _short(F.col("key"))
-        met = left.join(first, (F.col("key") == F.col("key2")) & (F.col("place") > F.col("place2")) & (F.col("label") != F.col("label2")) & enough & (_agreeing("registers", "registers2") >= AGREE) & here)
+        here = F.get(F.array_intersect("bands", "bands2"), F.lit(0)) == F.col("key")
+        behind = F.expr("place is null or place > place2")
+        met = placed.join(hubs, (F.col("key") == F.col("key2")) & behind & (F.col("label") != F.col("label2")) & enough & (_agreeing("registers", "registers2") >= AGREE) & here)
         pairs = met.select(F.col("node").alias("u"), F.col("node2").alias("v")).distinct()
         found = materialize(few_files(_verified(pairs, bags, similarity)), "links")
-        buckets = materialize(few_files(left.where(F.col("place") > width).select(*columns)), "buckets")
-        discard(left)
+        buckets = materialize(few_files(placed.where("place is null").select(*columns)), "buckets")
+        discard(placed, first)
         edges = found if edges is None else edges.unionByName(found)
         if not found.isEmpty():
             labels = materialize(few_files(components(edges)), "labels")
@@ -237,8 +237,9 @@ def _classes(docs: DataFrame, similarity: float = 0.8, k: int = 5, id_col: str =
         width *= 8
     discard(buckets, bags)
     member = nodes.join(labels, "node", "left").select("same", "copy_id", F.coalesce("label", "node").alias("label"))
-    classes = member.groupBy("label").agg(F.min("copy_id").alias("class_id"), F.min("same").alias("least_same"))
-    by_text = member.join(classes, "label").select("same", "copy_id", "class_id", "least_same")
+    # both sides of each join are tables, so that adaptive execution may split a large class or a text with many copies
+    classes = materialize(few_files(member.groupBy("label").agg(F.min("copy_id").alias("class_id"), F.min("same").alias("least_same"))), "classes")
+    by_text = materialize(few_files(member.join(classes, "label").select("same", "copy_id", "class_id", "least_same")), "members")
     out = signed.select("doc_id", "same").join(by_text, "same", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), "same", "least_same")
 
