@@ -19,8 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import let, release_memory, small_batches
-from tidemark.session import materialize
+from tidemark.llm.common import bucketed, let, release_memory, small_batches
 
 #: Buckets of the literal rank map; a byte string's bucket is its CRC-32 modulo this.
 BUCKETS = 1 << 16
@@ -33,8 +32,6 @@ CHUNK_CHARS = 32 << 20
 DEALS = 1 << 12
 #: Distinct words that make one row for the fold, at least; four times as many at most.
 ROW_WORDS = 1 << 16
-#: Tasks that put the ids of chunks together, at most; with more chunks a task takes several in turn.
-MOST_TASKS = 100_000
 
 INTS = "array<int>"
 
@@ -160,10 +157,21 @@ def _gather(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> np.nda
     return values[np.arange(total) + np.repeat(offsets[rows] - ends + sizes, sizes)]
 
 
+def _packed(numbers: np.ndarray) -> list[bytes]:
+    """Integers as compressed planes of their bytes; planes of small numbers take little."""
+    planes = numbers.astype("<i4").view(np.uint8).reshape(-1, 4)
+    return [zstandard.compress(planes[:, i].tobytes(), 1) for i in range(4)]
+
+
+def _unpacked(planes: list[bytes]) -> np.ndarray:
+    return np.stack([np.frombuffer(zstandard.decompress(p), np.uint8) for p in planes], axis=1).reshape(-1).view("<i4")
+
+
 def _lists(texts: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """A row per chunk of text: its documents' words as places in a list of distinct words, and the list in parts by hash.
 
-    The list has the words part by part, and at its end the long ones, whose ids stand beside.
+    The list has the words part by part, and at its end the long ones, whose ids stand
+    beside.  Documents refer to words by frequency, and ``places`` tells where those are in the list.
     """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,14 +192,18 @@ def _lists(texts: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 for d, (a, b) in enumerate(pairwise(bounds))
                 if a < b
             ]
-            every = np.concatenate([place[r] for r in refs]) if refs else place[:0]
+            every = np.concatenate([*refs, place[:0]])
+            frequent = np.argsort(-np.bincount(every, minlength=len(words)), kind="stable")
+            rank = np.empty(len(words), np.int32)
+            rank[frequent] = np.arange(len(words), dtype=np.int32)
             long = [merge_with_heap(w, ranks) for w in words[bounds[-1] :]]
             return pa.RecordBatch.from_pydict(
                 {
                     "chunk": pa.array([part << 32 | made], pa.int64()),
                     "doc_id": pa.array([ids], pa.list_(pa.int64())),
                     "sizes": pa.array([[len(r) for r in refs]], pa.list_(pa.int32())),
-                    "refs": pa.array([zstandard.compress(every.tobytes(), 1)], pa.binary()),
+                    "refs": pa.array([_packed(rank[every])], pa.list_(pa.binary())),
+                    "places": pa.array([_packed(place[frequent])], pa.list_(pa.binary())),
                     "long": pa.array([long], pa.list_(pa.list_(pa.int32()))),
                     "deals": pa.array([deals], pa.list_(pa.struct([("deal", pa.int32()), ("sizes", pa.binary()), ("data", pa.binary())]))),
                 }
@@ -211,7 +223,7 @@ def _lists(texts: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         if ids:
             yield row(index, ids, refs)
 
-    return texts.mapInArrow(split, "chunk long, doc_id array<bigint>, sizes array<int>, refs binary, long array<array<int>>, deals array<struct<deal:int,sizes:binary,data:binary>>")
+    return texts.mapInArrow(split, "chunk long, doc_id array<bigint>, sizes array<int>, refs array<binary>, places array<binary>, long array<array<int>>, deals array<struct<deal:int,sizes:binary,data:binary>>")
 
 
 def _folded(lists: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -259,8 +271,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, digests: bo
     list of distinct words and the places of its documents' words in it.  Parts of the
     lists by a hash of the word come together, and the merges are folded over the
     distinct words of the corpus with higher-order functions and a literal rank map.
-    The ids go back to the chunks that asked, where they are put in the order of the
-    words.  A part of a list is one packed row, so a word that is everywhere is a row
+    The ids go back to the chunks that asked, which are a bucketed table and don't move,
+    and are put in the order of the words.  A part of a list is one packed row, so a word that is everywhere is a row
     for each chunk.  Words over ``FOLD_BYTES`` are merged with a heap.
 
     A null text is as an empty one: no ids.  Repeated rows give repeated rows, and an
@@ -269,7 +281,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, digests: bo
     ranks = read_ranks(ranks_path)
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    lists = materialize(_lists(texts, ranks_path, pattern), "lists")
+    lists = bucketed(_lists(texts, ranks_path, pattern), "lists", "chunk")
     width = "<u2" if max(ranks.values()) < 1 << 16 else "<u4"
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +298,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, digests: bo
                 flat = np.concatenate([flat, np.array([x for i in late for x in i], np.int32)])
                 counts = np.concatenate([np.frombuffer(b"".join(p["counts"] for p in parts), np.uint8).astype(np.int64), np.array([len(i) for i in late], np.int64)])
                 every = np.concatenate([[0], np.cumsum(counts)])
-                refs = np.frombuffer(zstandard.decompress(batch.column("refs")[k].as_buffer()), np.int32)
+                refs = _unpacked(batch.column("places")[k].as_py())[_unpacked(batch.column("refs")[k].as_py())]
                 del parts, counts
                 out, at = [], 0
                 for n in batch.column("sizes")[k].as_py():
@@ -306,8 +318,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, digests: bo
             release_memory()
 
     parts = _folded(lists, ranks).groupBy("chunk").agg(F.collect_list(F.struct("deal", "counts", "ids")).alias("parts"))  # of one chunk
-    n_tasks = max(1, min(lists.count(), MOST_TASKS))
-    whole = lists.drop("deals").repartition(n_tasks, "chunk").join(parts.repartition(n_tasks, "chunk").hint("merge"), "chunk", "left")
+    whole = lists.drop("deals").join(parts.hint("merge"), "chunk", "left")
     return whole.mapInArrow(join, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import discard
+from tidemark.session import checkpoint_dir, discard
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +30,22 @@ def reference(column: str) -> Column:
 
 
 def few_files(df: DataFrame) -> DataFrame:
-    """``df`` in no more partitions than four for each core, without a shuffle: a task takes several in turn.
+    """``df`` in fewer partitions, without a shuffle: a task takes several in turn.
 
-    For tables of a loop's rounds, which shrink: else each is as many small files as the shuffle has partitions.
+    For tables of a loop's rounds, which shrink: else each is as many small files as the
+    shuffle has partitions.  An eighth of those partitions remain, and four for each core at least.
     """
-    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+    spark = df.sparkSession
+    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
+def bucketed(df: DataFrame, label: str, column: str) -> DataFrame:
+    """``df`` as a table in the shared folder, in buckets by ``column``: a join on it moves the other side alone."""
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", "zstd").option("path", f"{checkpoint_dir(spark)}/{name}").bucketBy(buckets, column).saveAsTable(name)
+    return spark.table(name)
 
 
 def free(*tables: DataFrame) -> None:
