@@ -143,6 +143,12 @@ def test_fingerprint_trees(spark, texts):
         assert (got[i]["near_edited"], got[i]["near_next"]) == pytest.approx((likeness(own, tree(edited)), likeness(own, tree(other))))
 
 
+def test_fingerprints_of_null_ids(spark):
+    rows_ = [(None, "abc def"), (None, "xyz" * 9), (None, None)]
+    got = fingerprints.fingerprint_edits(spark.createDataFrame(rows_, "doc_id long, text string")).collect()
+    assert len(got) == 3 and all(r["edited_sha256"] and r["edited_fingerprint"] and r["near_edited"] is not None for r in got)
+
+
 def test_differing_paragraphs(spark):
     rows_ = [("a\nb\n\nc\nd", "a\nx\n\nc\nd"), ("a\n\nb", "a\n\nb"), ("a\n\nb", "a\n\nb\n\nc"), ("", "a\nb")]
     docs = spark.createDataFrame(rows_, "x string, y string")

@@ -104,7 +104,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     places = F.when(F.col("to").isNull(), F.array(F.struct("range", F.lit(False).alias("ghost")))).otherwise(
         F.array(F.struct("range", F.lit(False).alias("ghost")), F.struct(F.col("to").alias("range"), F.lit(True).alias("ghost")))
     )
-    marked = dealt.join(F.broadcast(ghosts), F.col("doc_id") == F.col("top"), "left")
+    marked = dealt.join(F.broadcast(ghosts), F.col("doc_id").eqNullSafe(F.col("top")), "left")
     return marked.select("doc_id", "text", F.explode(places).alias("p")).select("p.*", "doc_id", "text")
 
 

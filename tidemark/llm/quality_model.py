@@ -17,6 +17,8 @@ from tidemark.llm.words import mix, words_of
 PASSAGE = 64
 #: Labelled documents that the model is fitted on, at most; chosen by a hash of the id.
 TRAIN_DOCS = 8000
+#: Passages of a document that the model is fitted on, at most, evenly spaced; scores use all.
+TRAIN_PASSAGES = 256
 #: Classes of bytes whose shares are features.
 CLASSES = ("upper", "lower", "digit", "stop", "quote", "mark", "bracket", "symbol", "high", "newline")
 _CLASS = np.zeros((len(CLASSES), 256), bool)
@@ -163,9 +165,9 @@ def _held_out(id_: str):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> Model:
-    """Fit on at most ``train_docs`` labelled documents that aren't held out.
+    """Fit on at most ``train_docs`` labelled documents that aren't held out, with ``TRAIN_PASSAGES`` passages each.
 
-    Passages are encoded to features on the executors; the driver gets those of the
+    Of several texts of one id one is taken.  Passages are encoded to features on the executors; the driver gets those of the
     chosen documents alone.  Null labels are left out; of several labels of an id the least counts.
     """
     chosen = (
@@ -181,12 +183,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
             x, bounds = passages(batch.column("text"))
-            rows = [x[a:b].astype("<f4").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            own = [x[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            rows = [p[np.linspace(0, len(p) - 1, min(len(p), TRAIN_PASSAGES)).round().astype(int)].astype("<f4").tobytes() for p in own]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(rows, pa.binary())], names=["doc_id", "y", "x"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    got = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, x binary").collect()
-    got.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
+    got = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, x binary").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x")).collect()
+    got.sort(key=lambda r: r["doc_id"])
     xs = [np.frombuffer(r["x"], "<f4").reshape(-1, N_FEATURES) for r in got]
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int64)
     return fit(np.concatenate(xs) if xs else np.zeros((1, N_FEATURES), np.float32), bounds, np.array([r["y"] for r in got], np.float64))
