@@ -46,7 +46,7 @@ STAGES = [
     ("best_fit_packing", pack),
 ]
 
-#: Signatures, tokenisers and packing are beyond SQL; tests hold each stage against brute force.
+#: Signatures, tokenisers and packing are beyond SQL; a test holds the whole run against plain Python.
 ORACLE_SQL = None
 
 

@@ -51,14 +51,19 @@ def append_entries(catalog: DataFrame, new: DataFrame) -> DataFrame:
     return catalog.unionByName(new.join(catalog, "file", "left_anti"))
 
 
-def dictionary_ranking(rows: DataFrame, cap_bytes: int = 32 * 1024, sample_rows: int = 10_000) -> DataFrame:
+def dictionary_ranking(rows: DataFrame, cap_bytes: int = 32 * 1024, sample_rows: int = 10_000, span: int = 4096) -> DataFrame:
     """The most frequent bodies among the first rows of each table whose bytes, a separator each, fit the cap.
 
     What is ranked is bounded by ``sample_rows`` for each table, the definition of the ranking.
+    Counts by stretch of numbers tell which stretches hold the first rows; only those are sorted.
     """
     from pyspark.sql import Window as W
 
-    sample = rows.withColumn("_n", F.row_number().over(W.partitionBy("table").orderBy("seq", "device_id"))).where(F.col("_n") <= sample_rows)
+    at = rows.withColumn("_part", F.floor(F.col("seq") / span))
+    counts = at.groupBy("table", "_part").agg(F.count("*").alias("_n"))
+    first = counts.withColumn("_before", F.sum("_n").over(W.partitionBy("table").orderBy("_part")) - F.col("_n")).where(F.col("_before") < sample_rows)
+    near = at.join(first.select("table", "_part"), ["table", "_part"], "left_semi").drop("_part")
+    sample = near.withColumn("_n", F.row_number().over(W.partitionBy("table").orderBy("seq", "device_id"))).where(F.col("_n") <= sample_rows)
     counted = sample.groupBy("table", "body").agg(F.count("*").alias("n"), F.min("_n").alias("first"))
     upto = F.sum(F.octet_length("body") + 1).over(W.partitionBy("table").orderBy(F.desc("n"), "first"))
     return counted.withColumn("upto", upto).where(F.col("upto") <= cap_bytes).drop("first")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.seal import running_total
 
 def chain(chunks: DataFrame) -> DataFrame:
     """Where a chunk starts before the one in front of it ends (``break``), or leaves numbers out (``gap``, how many).
@@ -50,20 +51,32 @@ def photo_audit(refs: DataFrame, sidecars: DataFrame) -> DataFrame:
     return both.select("sha", status.alias("status"))
 
 
-def delta_encode(rows: DataFrame, by: list[str]) -> DataFrame:
+def with_before(rows: DataFrame, by: list[str], columns: list[str], span: int) -> DataFrame:
+    """Rows with ``before``: the columns of the row in front by number, null at the first.
+
+    Only rows of a stretch of ``span`` numbers are sorted together; the last rows of
+    stretches, one each, tell what comes before the next.
+    """
+    at = rows.withColumn("_part", F.floor(F.col("seq") / span))
+    own = F.struct(*columns)
+    edges = at.groupBy(*by, "_part").agg(F.max_by(own, "seq").alias("_last"))
+    edges = edges.select(*by, "_part", F.lag("_last").over(W.partitionBy(*by).orderBy("_part")).alias("_edge"))
+    within = F.lag(own).over(W.partitionBy(*by, "_part").orderBy("seq"))
+    return at.withColumn("_within", within).join(edges, [*by, "_part"]).withColumn("before", F.coalesce("_within", "_edge")).drop("_part", "_within", "_edge")
+
+
+def delta_encode(rows: DataFrame, by: list[str], span: int = 1 << 16) -> DataFrame:
     """Differences of numbers and times to the row before; 0 for the first."""
-    order = W.partitionBy(*by).orderBy("seq")
-    d = lambda c: F.coalesce(F.col(c) - F.lag(c).over(order), F.lit(0))
-    return rows.withColumn("d_seq", d("seq")).withColumn("d_ts", d("ts"))
+    d = lambda c: F.coalesce(F.col(c) - F.col(f"before.{c}"), F.lit(0)).alias(f"d_{c}")
+    return with_before(rows, by, ["seq", "ts"], span).select(*rows.columns, d("seq"), d("ts"))
 
 
-def runs(rows: DataFrame, by: list[str], column: str) -> DataFrame:
+def runs(rows: DataFrame, by: list[str], column: str, span: int = 1 << 16) -> DataFrame:
     """Runs of equal values in the order of numbers: value, first number, length."""
-    order = W.partitionBy(*by).orderBy("seq")
-    new = F.coalesce((~F.col(column).eqNullSafe(F.lag(column).over(order))).cast("int"), F.lit(1))
-    island = F.sum("_new").over(order)
-    marked = rows.withColumn("_new", F.when(F.row_number().over(order) == 1, 1).otherwise(new)).withColumn("_run", island)
-    return marked.groupBy(*by, "_run").agg(F.first(column).alias(column), F.min("seq").alias("first_seq"), F.count("*").alias("length")).drop("_run")
+    starts = F.col("before").isNull() | ~F.col(column).eqNullSafe(F.col(f"before.{column}"))
+    marked = with_before(rows, by, ["seq", column], span).withColumn("_new", starts.cast("int")).drop("before")
+    numbered = running_total(marked, by, "seq", "_new", span, "_run")
+    return numbered.groupBy(*by, "_run").agg(F.first(column).alias(column), F.min("seq").alias("first_seq"), F.count("*").alias("length")).drop("_run")
 
 
 def expand_runs(encoded: DataFrame, column: str) -> DataFrame:

@@ -297,7 +297,7 @@ def chain_breaks_gaps(spark, d):
 
 @query(HOT + """SELECT device_id, seq, coalesce(seq - lag(seq) OVER w, 0) AS d_seq, coalesce(ts - lag(ts) OVER w, 0) AS d_ts FROM hot WINDOW w AS (PARTITION BY device_id ORDER BY seq)""")
 def delta_encode(spark, d):
-    return integrity.delta_encode(hot(spark, d), ["device_id"]).select("device_id", "seq", "d_seq", "d_ts")
+    return integrity.delta_encode(hot(spark, d), ["device_id"], 4096).select("device_id", "seq", "d_seq", "d_ts")
 
 
 RUNS = """, i AS (SELECT *, sum(CASE WHEN "table" IS DISTINCT FROM p OR p IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY device_id ORDER BY seq) AS run FROM (SELECT *, lag("table") OVER (PARTITION BY device_id ORDER BY seq) AS p FROM hot)) """
@@ -305,12 +305,12 @@ RUNS = """, i AS (SELECT *, sum(CASE WHEN "table" IS DISTINCT FROM p OR p IS NUL
 
 @query(HOT + RUNS + 'SELECT device_id, any_value("table") AS "table", min(seq) AS first_seq, count(*) AS length FROM i GROUP BY device_id, run')
 def rle_runs(spark, d):
-    return integrity.runs(hot(spark, d), ["device_id"], "table")
+    return integrity.runs(hot(spark, d), ["device_id"], "table", 4096)
 
 
-@query(HOT + 'SELECT device_id, "table", count(*) AS rows FROM hot GROUP BY 1, 2')
+@query(HOT + RUNS + 'SELECT device_id, "table", min(seq) OVER (PARTITION BY device_id, run) AS first_seq, CAST(row_number() OVER (PARTITION BY device_id, run ORDER BY seq) - 1 AS INT) AS "offset" FROM i')
 def rle_expand(spark, d):
-    return integrity.expand_runs(integrity.runs(hot(spark, d), ["device_id"], "table"), "table").groupBy("device_id", "table").agg(F.count("*").alias("rows"))
+    return integrity.expand_runs(integrity.runs(hot(spark, d), ["device_id"], "table", 4096), "table").select("device_id", "table", "first_seq", "offset")
 
 
 def _acks(c: DataFrame) -> DataFrame:
@@ -405,7 +405,7 @@ def alert_level(spark, d):
     return lifecycle.alerts(_status(spark, d).select("unacked", "quarantined", F.lit(80).alias("free_mb")))
 
 
-VERIFY = ", v AS (SELECT file, \"table\", CASE WHEN no % 7 = 3 THEN 'QUARANTINED' WHEN no % 5 = 1 THEN 'MISSING' WHEN no % 4 = 2 THEN 'CORRUPT' ELSE 'OK' END AS status FROM chunks) "
+VERIFY = ", v AS (SELECT file, \"table\", CASE WHEN no % 5 <> 1 AND no % 4 = 2 THEN 'sha256' ELSE '' END AS reason, CASE WHEN no % 7 = 3 THEN 'QUARANTINED' WHEN no % 5 = 1 THEN 'MISSING' WHEN no % 4 = 2 THEN 'CORRUPT' ELSE 'OK' END AS status FROM chunks) "
 
 
 def _statuses(spark, d):
@@ -416,10 +416,10 @@ def _statuses(spark, d):
 
 @query(HOT + VERIFY + "SELECT * FROM v")
 def verify_status(spark, d):
-    return _statuses(spark, d)[1].drop("reason")
+    return _statuses(spark, d)[1]
 
 
-@query(HOT + VERIFY + "SELECT v.file, status, no % 3 = 0 AS repairable FROM v JOIN chunks USING (file) WHERE status <> 'OK'")
+@query(HOT + VERIFY + "SELECT v.file, v.status, no % 3 = 0 AS repairable FROM v JOIN chunks USING (file) WHERE status <> 'OK'")
 def repair_plan(spark, d):
     c, s = _statuses(spark, d)
     return integrity.repair_plan(s, c, _acks(c))
