@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import base64_size, synthetic_id, to_int
-from tidemark.model import ROW_COLUMNS, SEQ_MAX
+from tidemark.model import SEQ_MAX
 
 # Alias keys of each target, in order of priority.
 SEQ_KEYS = ("seq", "no")
@@ -65,10 +63,6 @@ def normalize(records: DataFrame, column: str = "value", fallback_table: str = "
     return rows
 
 
-def rows_only(normalized: DataFrame) -> DataFrame:
-    return normalized.where(~F.col("malformed")).select(*ROW_COLUMNS)
-
-
 def malformed_gate(normalized: DataFrame, limit: float = 0.01) -> DataFrame:
     """One row: records, malformed ones, and whether they are too many to go on."""
     counts = normalized.agg(F.count("*").alias("total"), F.count_if("malformed").alias("malformed"))
@@ -84,5 +78,7 @@ def photo_gate(rows: DataFrame, limit_bytes: int = 256 * 1024) -> DataFrame:
     return rows.withColumn("photo_sha", sha).withColumn("photo_size", F.when(F.col("photo_sha").isNotNull(), size)).withColumn("body", F.coalesce(ref, "body"))
 
 
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+def photos(gated: DataFrame, original: str) -> DataFrame:
+    """The bytes (``sha``, ``data``) that gated rows refer to, once each, from the column that has the body as it came."""
+    large = gated.where("photo_sha is not null").select(F.col("photo_sha").alias("sha"), F.col(original).alias("text"))
+    return large.dropDuplicates(["sha"]).select("sha", F.unbase64(F.regexp_replace("text", r"\s", "")).alias("data"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,12 @@ def ship_plan(chunks: DataFrame, acks: DataFrame, blobs: bool = False) -> DataFr
     return there.select("file", "table", lane.alias("lane"), "seq_min", "bytes", "sha256", reason.alias("action"))
 
 
+def ship_plans(chunks: DataFrame, acks: DataFrame, relays: list[str], blobs: bool = False) -> DataFrame:
+    """``ship_plan`` for each relay, by what that relay acknowledged."""
+    plans = [ship_plan(chunks, acks.where(F.col("relay") == r), blobs).withColumn("relay", F.lit(r)) for r in relays]
+    return reduce(DataFrame.unionByName, plans)
+
+
 def ship_totals(plan: DataFrame) -> DataFrame:
     return plan.groupBy("action").agg(F.count("*").alias("chunks"), F.sum("bytes").alias("bytes"))
 

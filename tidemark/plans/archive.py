@@ -182,7 +182,7 @@ class Archive:
         return integrity.photo_audit(refs.select("sha", F.col("size").cast("bigint").alias("size")), self.photos().select("sha", F.octet_length("data").cast("bigint").alias("size")))
 
     def _add_photos(self, found: DataFrame) -> None:
-        new = found.select("sha", "data").dropDuplicates(["sha"]).join(self.photos().select("sha"), "sha", "left_anti")
+        new = found.select("sha", "data").join(self.photos().select("sha"), "sha", "left_anti")
         new.withColumn("prefix", F.substring("sha", 1, 2)).write.partitionBy("prefix").mode("append").parquet(f"{self.root}/photos")
 
     # ingest
@@ -209,8 +209,7 @@ class Archive:
             return done
         batch = f"{based_on + 1:08d}-{uuid.uuid4().hex[:8]}"
         gated = normalize.photo_gate(fresh.withColumn("original", F.col("body")), photo_limit)
-        large = gated.where("photo_sha is not null").select(F.col("photo_sha").alias("sha"), F.unbase64(F.regexp_replace("original", r"\s", "")).alias("data"))
-        self._add_photos(large)
+        self._add_photos(normalize.photos(gated, "original"))
         placed = gated.select(*ROW_COLUMNS).withColumn("month", month_of(F.col("ts"))).withColumn("batch", F.lit(batch)).withColumn("lane", sanitize_table(F.col("table")))
         packed = seal.pack(placed, target_bytes, by=["lane", "month"])
         self._write(packed.withColumn("part", F.col("chunk_no").cast("string")), "warm")

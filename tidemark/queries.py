@@ -155,9 +155,14 @@ def pack_chunks(spark, d):
     return seal.pack(hot(spark, d), 16384, 1024).select("table", "seq", "row_bytes", "chunk_no")
 
 
-@query(HOT + 'SELECT file, "table", seq_min, seq_max, ts_min, ts_max, rows, bytes, min_key, max_key, month FROM chunks')
+_TEXTS = ", ".join(f"strlen(CAST({c} AS VARCHAR)) || ':' || {c}" for c in ("device_id", "seq", "ts", "trx", '"table"', "body"))
+_SUMS = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 16 * i}, 16) AS UBIGINT)::HUGEINT) AS VARCHAR)" for i in range(4))
+
+
+@query(HOT + f""", hashed AS (SELECT file, sha256(concat_ws(',', {_TEXTS})) AS h FROM filed), content AS (SELECT file, sha256(concat_ws(':', {_SUMS}, CAST(count(*) AS VARCHAR))) AS sha256 FROM hashed GROUP BY file)
+ SELECT file, "table", seq_min, seq_max, ts_min, ts_max, rows, bytes, sha256, min_key, max_key, month FROM chunks JOIN content USING (file)""")
 def chunk_catalog(spark, d):
-    return chunks(spark, d).select("file", "table", "seq_min", "seq_max", "ts_min", "ts_max", "rows", "bytes", "min_key", "max_key", "month")
+    return chunks(spark, d).select("file", "sha256", "table", "seq_min", "seq_max", "ts_min", "ts_max", "rows", "bytes", "min_key", "max_key", "month")
 
 
 @query(HOT + "SELECT file, min_key, max_key, seq_min, month FROM chunks WHERE no % 7 <> 3")
@@ -187,12 +192,23 @@ def prune_candidates(spark, d):
     return lookup.candidates(chunks(spark, d).withColumn("quarantined", F.col("no") % 7 == 3), "trx-00000778").select("file", "hit")
 
 
-@query(HOT + "SELECT DISTINCT file, true AS hit FROM filed WHERE trx = 'trx-00000778'")
+def _fnv(text: str) -> str:
+    return f"list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
+
+
+def _bloom_bits(key: str) -> str:
+    return f"xor({_fnv(f"i || ':' || {key}")}, {_fnv(f'reverse({key})')}) % 2048"
+
+
+@query(HOT + f""", bits AS (SELECT DISTINCT file, {_bloom_bits('trx')} AS bit FROM filed, range(3) AS r(i)), probe AS (SELECT DISTINCT {_bloom_bits("'trx-00000778'")} AS bit FROM range(3) AS r(i)),
+ held AS (SELECT file, count(*) AS n FROM bits JOIN probe USING (bit) GROUP BY file)
+ SELECT file, 'trx-00000778' BETWEEN min_key AND max_key AS in_range, coalesce(n, 0) = (SELECT count(*) FROM probe) AS in_filter FROM chunks LEFT JOIN held USING (file)""")
 def bloom_probe(spark, d):
-    """The file that holds the key is never ruled out; those kept without holding it are dropped by the scan."""
-    rows = chunked(hot(spark, d, "event"))
-    hit = lookup.candidates(catalog.chunk_entries(rows, bloom=True), "trx-00000778").where("hit").select("file", "hit")
-    return hit.join(lookup.find(rows, "trx-00000778").select("file").distinct(), "file", "left_semi")
+    """What the key range and the filter of each chunk say of a key, false positives too."""
+    found = catalog.chunk_entries(chunked(hot(spark, d, "event")), bloom=True)
+    both = lookup.candidates(found.drop("bloom"), "trx-00000778").select("file", F.col("hit").alias("in_range"))
+    wide = found.withColumn("min_key", F.lit("")).withColumn("max_key", F.lit("z"))
+    return both.join(lookup.candidates(wide, "trx-00000778").select("file", F.col("hit").alias("in_filter")), "file")
 
 
 def _asof_sql(column: str, share: float, window: float | None = None) -> str:
@@ -317,6 +333,15 @@ def _acks(c: DataFrame) -> DataFrame:
     return c.where("no % 3 = 0").select("sha256")
 
 
+@query(HOT + """SELECT relay, file, "table", CASE WHEN "table" = 'photo' THEN 1 ELSE 0 END AS lane, seq_min, bytes, CASE WHEN no % 7 = 3 THEN 'quarantined' WHEN "table" = 'photo' THEN 'blob-deferred' WHEN no % modulus = 0 THEN 'already-acked' ELSE 'ship' END AS action
+ FROM chunks, (VALUES ('north', 3), ('south', 2)) AS r(relay, modulus)""")
+def relay_acks(spark, d):
+    """What each of two relays is to get: what one acknowledged counts for it alone."""
+    c = chunks(spark, d).withColumn("quarantined", F.col("no") % 7 == 3)
+    acks = c.where("no % 3 = 0").select("sha256", F.lit("north").alias("relay")).unionByName(c.where("no % 2 = 0").select("sha256", F.lit("south").alias("relay")))
+    return sync.ship_plans(c, acks, ["north", "south"]).select("relay", "file", "table", "lane", "seq_min", "bytes", "action")
+
+
 PLAN = """, plan AS (SELECT file, "table", CASE WHEN "table" = 'photo' THEN 1 ELSE 0 END AS lane, seq_min, bytes, CASE WHEN no % 7 = 3 THEN 'quarantined' WHEN "table" = 'photo' THEN 'blob-deferred' WHEN no % 3 = 0 THEN 'already-acked' ELSE 'ship' END AS action
  FROM (SELECT * REPLACE (CASE WHEN "table" = 'view' THEN 'photo' ELSE "table" END AS "table") FROM chunks)) """
 
@@ -431,6 +456,14 @@ def photo_gate(spark, d):
     return normalize.photo_gate(docs, 2000).select("doc_id", "body", F.col("photo_size").cast("bigint").alias("photo_size"))
 
 
+@query("SELECT DISTINCT sha256(text) AS sha, CAST(octet_length(encode(text)) AS BIGINT) AS size, sha256(text) AS data_sha FROM documents WHERE octet_length(encode(text)) > 2000")
+def photo_store(spark, d):
+    """Bytes kept beside the rows, with the hash of what is kept."""
+    bodies = table(spark, d, "documents").select(F.base64(F.encode("text", "UTF-8")).alias("original"))
+    kept = normalize.photos(normalize.photo_gate(bodies.withColumn("body", F.col("original")), 2000), "original")
+    return kept.select("sha", F.octet_length("data").cast("bigint").alias("size"), F.sha2("data", 256).alias("data_sha"))
+
+
 @query("SELECT p_partkey, p_name || '/thumbs' AS name, 1 AS lane FROM part WHERE p_size > 25 UNION ALL SELECT p_partkey, p_name, CASE WHEN regexp_matches(p_name, '(?i)blob|photo|image|thumb') THEN 1 ELSE 0 END FROM part WHERE p_size <= 25")
 def blob_lane(spark, d):
     named = table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") > 25, F.concat("p_name", F.lit("/thumbs"))).otherwise(F.col("p_name")).alias("name"))
