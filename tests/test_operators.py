@@ -8,6 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import scalars
 from tidemark.functions.checksums import crc32c, crc32c_bytes
 from tidemark.model import ROW
 from tidemark.operators import asof, integrity, normalize, seal, series, stores
@@ -249,6 +250,45 @@ def test_unreadable_manifest(spark, archive):
     assert archive.rows().count() == 5
 
 
+def test_sql_surface(spark, archive):
+    archive.seal(feed_rows(spark, 5))
+    archive.register("arc")
+    assert [r["body"] for r in spark.sql("select body from arc_find('d-0002')").collect()] == ["b2"]
+    assert spark.sql("select * from arc_find('none')").isEmpty() and spark.sql("select sum(rows) from arc_chunks").first()[0] == 5
+
+
+def test_reserve(spark, archive, monkeypatch):
+    from tidemark.plans import archive as module
+
+    monkeypatch.setattr(module, "RESERVE", 1 << 60)
+    with pytest.raises(OSError):
+        archive.seal(feed_rows(spark, 1))
+
+
+def test_objects_and_names(spark):
+    objects = stores.put(spark.createDataFrame([], "sha string, content binary"), spark.createDataFrame([(b"x",), (b"x",), (b"y",)], "content binary"))
+    sha = objects.where("content = X'78'").first()["sha"]
+    assert objects.count() == 2 and stores.get(objects, sha) == b"x"
+    with pytest.raises(FileNotFoundError):
+        stores.get(objects, "0")
+    for bad in ("", "a/b", "..", None):
+        with pytest.raises(Exception, match="bad name"):
+            stores.pack_bundles(spark.createDataFrame([(1, bad, "t")], "k int, n string, t string"), "k", "n", "t").collect()
+
+
+def test_fnv_of_utf16(spark):
+    def fnv(text):
+        h = 2166136261
+        units = text.encode("utf-16-le")
+        for i in range(0, len(units), 2):
+            h = ((h ^ int.from_bytes(units[i : i + 2], "little")) * 16777619) & 0xFFFFFFFF
+        return h
+
+    texts = ["", "abc", "é日", "a\U0001f600b"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(scalars.fnv1a32(F.col("t"))).collect()
+    assert [r[0] for r in got] == [fnv(t) for t in texts]
+
+
 def test_chunks_are_bounded(spark, archive):
     assert archive.seal(feed_rows(spark, 200), target_bytes=2000)["sealed"] == 200
     got = archive.chunks.collect()

@@ -10,6 +10,8 @@ from tidemark.model import ID_SEPARATOR
 FNV_BASIS, FNV_PRIME, WORD = 2166136261, 16777619, 0xFFFFFFFF
 #: Fixed pattern of references to photos kept outside the row.
 PHOTO_REF = r"^photo:sha256:([0-9a-f]{64}):size=([0-9]+)$"
+#: Fixed pattern of the names of chunk files.
+CHUNK_NAME = r"^[A-Za-z0-9_][A-Za-z0-9_.-]*\.chk$"
 #: Tables whose names say that they hold blobs.
 BLOB_TABLE = r"(?i)blob|photo|image|thumb"
 
@@ -45,9 +47,25 @@ def is_photo_ref(body: Column) -> Column:
     return F.coalesce(body.rlike(PHOTO_REF), F.lit(False))
 
 
+def valid_sha(text: Column) -> Column:
+    """Whether a text is a content hash in hexadecimal."""
+    return F.coalesce(text.rlike("^[0-9a-f]{64}$"), F.lit(False))
+
+
+def valid_chunk_name(name: Column) -> Column:
+    """Whether a name is a chunk's file name and no path."""
+    return F.coalesce(name.rlike(CHUNK_NAME) & ~name.contains("/") & ~name.contains("\\") & ~name.contains(".."), F.lit(False))
+
+
 def fnv1a32(text: Column, basis: int = FNV_BASIS) -> Column:
-    """32-bit FNV-1a over the UTF-16 units of a text without characters beyond the basic plane."""
-    units = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text), F.lit(1))), lambda i: F.ascii(F.substring(text, i, F.lit(1))).cast("bigint"))
+    """32-bit FNV-1a over the UTF-16 units of a text."""
+
+    def of(i: Column) -> Column:
+        code = F.ascii(F.substring(text, i, F.lit(1))).cast("bigint")
+        high, low = F.shiftright(code - 0x10000, 10) + 0xD800, (code - 0x10000).bitwiseAND(F.lit(0x3FF)) + 0xDC00
+        return F.when(code > 0xFFFF, F.array(high, low)).otherwise(F.array(code))
+
+    units = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text), F.lit(1))), of))
     step = lambda h, u: (h.bitwiseXOR(u) * FNV_PRIME).bitwiseAND(F.lit(WORD))
     return F.when(F.char_length(text) == 0, F.lit(basis).cast("bigint")).otherwise(F.aggregate(units, F.lit(basis).cast("bigint"), step))
 

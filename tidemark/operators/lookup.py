@@ -20,6 +20,12 @@ def candidates(chunks: DataFrame, key: str) -> DataFrame:
     return chunks.withColumn("hit", ~F.col("quarantined") & within & maybe)
 
 
+def segments_for(cold: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Segments that hold a candidate chunk, and which of theirs: no other segment needs a look."""
+    held = cold.select(F.col("file").alias("segment"), F.explode("chunks").alias("file"))
+    return held.join(candidates.where("hit").select("file"), "file", "left_semi").select("segment", "file")
+
+
 def months_for(pointers: DataFrame, key: str) -> DataFrame:
     """Months whose key range holds the key: a filter for partitions."""
     return pointers.where((F.col("min_key") <= key) & (F.col("max_key") >= key)).select("month")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import bloom_positions
+
 
 def downsample(points: DataFrame, bucket_ms: int, by: list[str], flag: str | None = None, position: str = "seq") -> DataFrame:
     """Count, extremes, sum, mean, first and last value, and whether any point is flagged, by bucket."""
@@ -67,6 +69,12 @@ def flag_two_passes(points: DataFrame, by: list[str], window: int = 10, z: float
     return first.groupBy(*by).applyInPandas(fold, first.schema)
 
 
+def anomaly_filter(points: DataFrame, by: list[str]) -> DataFrame:
+    """Bits of a Bloom filter over the ids of flagged points, for each group: 2048 at most."""
+    bits = points.where("flagged").select(*by, F.explode(F.array(*bloom_positions(F.col("id")))).alias("bit"))
+    return bits.groupBy(*by).agg(F.sort_array(F.collect_set("bit")).alias("bloom"))
+
+
 def route(points: DataFrame, cold_before: int, anomaly_to_cold: bool = True) -> DataFrame:
     """``tier`` (hot or cold) and ``quarantined`` of each point; quarantined ones lie in the cold tier."""
     bad = F.col("flagged") if anomaly_to_cold else F.lit(False)

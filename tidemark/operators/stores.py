@@ -21,6 +21,25 @@ def refcounts(objects: DataFrame, refs: DataFrame) -> DataFrame:
     return objects.select("sha").join(own, "sha", "left").select("sha", F.coalesce("refs", F.lit(0)).alias("refs"), "first_owner", "last_owner")
 
 
+def link(refs: DataFrame, new: DataFrame, objects: DataFrame) -> DataFrame:
+    """References (``sha``, ``owner``) with new ones to objects that are there; each counts once."""
+    return refs.select("sha", "owner").unionByName(new.select("sha", "owner").join(objects, "sha", "left_semi")).distinct()
+
+
+def unlink(refs: DataFrame, gone: DataFrame) -> DataFrame:
+    return refs.select("sha", "owner").join(gone.select("sha", "owner"), ["sha", "owner"], "left_anti")
+
+
+def get(objects: DataFrame, sha: str) -> bytes:
+    """The content under a hash, checked."""
+    row = objects.where(F.col("sha") == sha).select("content", F.sha2("content", 256).alias("found")).first()
+    if row is None:
+        raise FileNotFoundError(sha)
+    if row["found"] != sha:
+        raise ValueError(f"object {sha} is damaged")
+    return bytes(row["content"])
+
+
 def garbage(objects: DataFrame, refs: DataFrame) -> DataFrame:
     return objects.select("sha").join(refs, "sha", "left_anti")
 
@@ -28,11 +47,12 @@ def garbage(objects: DataFrame, refs: DataFrame) -> DataFrame:
 def pack_bundles(parts: DataFrame, key: str, name: str, text: str) -> DataFrame:
     """For each bundle its references by name (hash and size) as one hash, with their number and bytes.
 
-    Names must be distinct in a bundle and aren't empty or paths.
+    Names must be distinct in a bundle; one that is empty or a path is an error.
     """
-    good = parts.where((F.length(name) > 0) & ~F.col(name).contains("/"))
-    ref = F.struct(F.col(name).alias("name"), F.sha2(text, 256).alias("sha256"), F.octet_length(text).cast("bigint").alias("bytes"))
-    packed = good.groupBy(key).agg(F.sort_array(F.collect_list(ref)).alias("refs"))  # of one bundle
+    fine = F.coalesce((F.length(name) > 0) & ~F.col(name).contains("/") & ~F.col(name).contains("\\") & ~F.col(name).contains(".."), F.lit(False))
+    checked = F.when(fine, F.col(name)).otherwise(F.raise_error(F.concat(F.lit("bad name: "), F.coalesce(F.col(name), F.lit("null")))))
+    ref = F.struct(checked.alias("name"), F.sha2(text, 256).alias("sha256"), F.octet_length(text).cast("bigint").alias("bytes"))
+    packed = parts.groupBy(key).agg(F.sort_array(F.collect_list(ref)).alias("refs"))  # of one bundle
     line = lambda r: F.concat_ws(" ", r["name"], r["sha256"], r["bytes"].cast("string"))
     return packed.select(key, F.size("refs").alias("n_refs"), F.aggregate("refs", F.lit(0).cast("bigint"), lambda a, r: a + r["bytes"]).alias("bytes"), F.sha2(F.array_join(F.transform("refs", line), "\n"), 256).alias("sha256"))
 

@@ -24,6 +24,11 @@ def ship_plans(chunks: DataFrame, acks: DataFrame, relays: list[str], blobs: boo
     return reduce(DataFrame.unionByName, plans)
 
 
+def ship_order(plan: DataFrame) -> DataFrame:
+    """What is to be shipped in the order of shipping: text before blobs, then by number."""
+    return plan.where("action = 'ship'").orderBy("lane", "seq_min", "file")
+
+
 def ship_totals(plan: DataFrame) -> DataFrame:
     return plan.groupBy("action").agg(F.count("*").alias("chunks"), F.sum("bytes").alias("bytes"))
 

@@ -28,6 +28,10 @@ PHOTOS = "sha string, data binary"
 TARGET_BYTES, MOST_FILES = 64 << 20, 1000
 
 
+#: Free bytes below which nothing is written.
+RESERVE = 50 << 20
+
+
 class Conflict(RuntimeError):
     """Another writer committed the generation that this one was about to."""
 
@@ -103,8 +107,15 @@ class Archive:
         return self._manifest()[0]
 
     def _writable(self) -> None:
+        """Refuse writing to a read-only archive, and where so little is free that a write may end half done."""
         if self.read_only:
             raise PermissionError("archive opened read-only")
+        fs, p = self._fs(self.root)
+        while not fs.exists(p):
+            p = p.getParent()
+        free = fs.getStatus(p).getRemaining()
+        if free < RESERVE:
+            raise OSError(f"{free} bytes are free, {RESERVE} must stay in reserve")
 
     @property
     def chunks(self) -> DataFrame:
@@ -227,6 +238,16 @@ class Archive:
         files = [r["file"] for r in lookup.candidates(self.chunks, key).where("hit").select("file").collect()]
         return lookup.find_first(self._in(self._read("warm"), files), key).select(*ROW_COLUMNS)
 
+    def register(self, name: str) -> None:
+        """Views ``name_rows`` and ``name_chunks``, and a table function ``name_find(key)``, for SQL of this session."""
+        self.rows().select(*ROW_COLUMNS, "file").createOrReplaceTempView(f"{name}_rows")
+        self.chunks.createOrReplaceTempView(f"{name}_chunks")
+        columns = ", ".join(f"`{f.split()[0]}` {f.split()[1]}" for f in WARM.split(", "))
+        self.spark.sql(
+            f"CREATE OR REPLACE TEMPORARY FUNCTION {name}_find(key STRING) RETURNS TABLE ({columns}) "
+            f"RETURN SELECT {', '.join(f'`{c}`' for c in ROW_COLUMNS)} FROM {name}_rows WHERE id = key ORDER BY seq, device_id, `table` LIMIT 1"
+        )
+
     def as_of(self, **at: int) -> DataFrame:
         """State as of a time or number; of rows with equal number and time that of the first chunk wins."""
         starts = asof.prune(self.chunks, **at).where("kept").select("file", F.col("seq_min").alias("chunk_seq_min"))

@@ -464,6 +464,17 @@ def photo_store(spark, d):
     return kept.select("sha", F.octet_length("data").cast("bigint").alias("size"), F.sha2("data", 256).alias("data_sha"))
 
 
+@query("""SELECT p_partkey, name, regexp_full_match(name, '[A-Za-z0-9_][A-Za-z0-9_.-]*\\.chk') AND NOT contains(name, '..') AS ok, regexp_full_match(sha, '[0-9a-f]{64}') AS sha_ok FROM (SELECT p_partkey,
+ replace(p_name, ' ', CASE WHEN p_partkey % 5 = 0 THEN ' ' ELSE '_' END) || CASE p_partkey % 4 WHEN 0 THEN '.chk' WHEN 1 THEN '/a.chk' WHEN 2 THEN '..chk' ELSE '.txt' END AS name, CASE WHEN p_partkey % 3 = 0 THEN upper(sha256(p_name)) ELSE sha256(p_name) END AS sha FROM part)""")
+def name_gates(spark, d):
+    part = table(spark, d, "part")
+    end = F.element_at(F.array(*map(F.lit, [".chk", "/a.chk", "..chk", ".txt"])), (F.col("p_partkey") % 4 + 1).cast("int"))
+    name = F.concat(F.when(F.col("p_partkey") % 5 == 0, F.col("p_name")).otherwise(F.replace("p_name", F.lit(" "), F.lit("_"))), end)
+    sha = F.sha2("p_name", 256)
+    named = part.select("p_partkey", name.alias("name"), F.when(F.col("p_partkey") % 3 == 0, F.upper(sha)).otherwise(sha).alias("sha"))
+    return named.select("p_partkey", "name", scalars.valid_chunk_name(F.col("name")).alias("ok"), scalars.valid_sha(F.col("sha")).alias("sha_ok"))
+
+
 @query("SELECT p_partkey, p_name || '/thumbs' AS name, 1 AS lane FROM part WHERE p_size > 25 UNION ALL SELECT p_partkey, p_name, CASE WHEN regexp_matches(p_name, '(?i)blob|photo|image|thumb') THEN 1 ELSE 0 END FROM part WHERE p_size <= 25")
 def blob_lane(spark, d):
     named = table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") > 25, F.concat("p_name", F.lit("/thumbs"))).otherwise(F.col("p_name")).alias("name"))
@@ -556,6 +567,83 @@ def series_hash(spark, d):
     return series.series_hash(hot(spark, d), ["table"])
 
 
+@query(HOT + """SELECT 'seg-' || (no // 3) AS segment, file FROM chunks WHERE no % 7 <> 3 AND 'trx-00000778' BETWEEN min_key AND max_key""")
+def cold_candidates(spark, d):
+    c = chunks(spark, d).withColumn("quarantined", F.col("no") % 7 == 3)
+    return lookup.segments_for(_cold_by_number(c), lookup.candidates(c, "trx-00000778"))
+
+
+def _cold_by_number(c: DataFrame) -> DataFrame:
+    """Segments of three numbers each."""
+    return c.groupBy(F.concat(F.lit("seg-"), F.expr("no div 3")).alias("file")).agg(F.collect_list("file").alias("chunks"), F.sum("bytes").alias("bytes"))
+
+
+@query(HOT + PLAN + "SELECT * FROM plan WHERE action = 'ship' ORDER BY lane, seq_min, file")
+def ship_order(spark, d):
+    c = chunks(spark, d).withColumn("quarantined", F.col("no") % 7 == 3)
+    return sync.ship_order(sync.ship_plan(c, _acks(c))).drop("sha256")
+
+
+@query(HOT + "SELECT DISTINCT no % 9 AS dict_id FROM chunks WHERE no % 9 NOT IN (SELECT no % 9 FROM chunks WHERE no % 2 = 0 AND no < 9)")
+def dead_dictionaries(spark, d):
+    held = chunks(spark, d).select((F.col("no") % 9).alias("dict_id"), "no")
+    return lifecycle.dead_dictionaries(held.select("dict_id").distinct(), held.where("no % 2 = 0 and no < 9").select("dict_id"))
+
+
+@query(HOT + VERIFY + """, broken AS (SELECT count(*) FILTER (WHERE seq_min <= pm) AS breaks, count(*) FILTER (WHERE seq_min > pm + 1) AS gaps FROM (SELECT *, lag(seq_max) OVER (PARTITION BY "table" ORDER BY seq_min, file) AS pm FROM chunks WHERE no % 7 <> 3))
+ SELECT chunks, bad, breaks, gaps, bad = 0 AND breaks = 0 AS ok FROM (SELECT count(*) AS chunks, count(*) FILTER (WHERE status <> 'OK') AS bad FROM v), broken""")
+def verify_verdict(spark, d):
+    c, statuses = _statuses(spark, d)
+    return integrity.verdict(statuses, integrity.chain(c))
+
+
+@query(HOT + """, now AS (SELECT month, count(*) AS chunks, CAST(sum(rows) AS BIGINT) AS rows, min(min_key) AS min_key, max(max_key) AS max_key, min(ts_min) AS ts_min, max(ts_max) AS ts_max FROM chunks WHERE no % 2 = 0 GROUP BY month),
+ old AS (SELECT month, count(*) AS chunks, CAST(sum(rows) AS BIGINT) AS rows, min(min_key) AS min_key, max(max_key) AS max_key, min(ts_min) AS ts_min, max(ts_max) AS ts_max FROM (SELECT * REPLACE ('x' || month AS month) FROM chunks WHERE no % 2 = 1 UNION ALL SELECT * FROM chunks WHERE no % 2 = 1) GROUP BY month)
+ SELECT * FROM now UNION ALL SELECT * FROM old WHERE month NOT IN (SELECT month FROM now)""")
+def months_additive(spark, d):
+    c = chunks(spark, d)
+    odd = c.where("no % 2 = 1")
+    old = catalog.month_pointers(odd.withColumn("month", F.concat(F.lit("x"), "month")).unionByName(odd))
+    return catalog.month_pointers(c.where("no % 2 = 0"), old)
+
+
+@query(HOT + """SELECT month FROM chunks GROUP BY month HAVING 'trx-00000778' BETWEEN min(min_key) AND max(max_key)""")
+def shard_prune(spark, d):
+    return lookup.months_for(catalog.month_pointers(chunks(spark, d)), "trx-00000778")
+
+
+@query("SELECT doc_id, octet_length(encode(text)) > 2000 AS is_ref FROM documents")
+def photo_refs(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"\s", "").alias("body"))
+    return normalize.photo_gate(docs, 2000).select("doc_id", scalars.is_photo_ref(F.col("body")).alias("is_ref"))
+
+
+@query("""SELECT p_partkey, CASE WHEN length(regexp_replace(p_name, '[^A-Za-z0-9_-]', '_', 'g')) > 0 THEN substr(regexp_replace(p_name, '[^A-Za-z0-9_-]', '_', 'g'), 1, 32) ELSE 'log' END || '-' || lpad(CAST(p_size AS VARCHAR), 8, '0') || '-' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') || '-' || substr(sha256(p_name), 1, 8) AS name FROM part""")
+def chunk_names(spark, d):
+    return table(spark, d, "part").select("p_partkey", scalars.chunk_name(F.col("p_name"), F.col("p_size"), F.col("p_partkey"), F.sha2("p_name", 256)).alias("name"))
+
+
+@query(HOT + PASS1 + f", bits AS (SELECT DISTINCT device_id, CAST({_bloom_bits('id')} AS INT) AS bit FROM flagged, range(3) AS r(i) WHERE flagged) SELECT device_id, bit FROM bits")
+def anomaly_filter(spark, d):
+    found = series.anomaly_filter(series.flag_first_pass(hot(spark, d), SERIES), ["device_id"])
+    return found.select("device_id", F.explode("bloom").alias("bit"))
+
+
+@query("""WITH o AS (SELECT sha256(text) AS sha, source AS owner, doc_id FROM documents) SELECT DISTINCT sha, owner FROM o WHERE doc_id % 4 <> 0 EXCEPT SELECT sha, owner FROM o WHERE doc_id % 6 = 1""")
+def cas_links(spark, d):
+    docs, objects = _objects(spark, d)
+    refs = docs.select("doc_id", F.sha2("content", 256).alias("sha"), F.col("source").alias("owner"))
+    linked = stores.link(refs.limit(0), refs.where("doc_id % 4 <> 0"), objects)
+    return stores.unlink(linked, refs.where("doc_id % 6 = 1"))
+
+
+@query("""SELECT conv_id || '-' || turn AS name, CASE WHEN turn % 5 = 1 THEN 'missing' WHEN turn % 5 = 2 THEN 'size' WHEN turn % 5 = 3 THEN 'sha256' ELSE 'ok' END AS status FROM conversations""")
+def bundle_verify(spark, d):
+    refs = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("name"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("bigint").alias("bytes"), "turn")
+    found = refs.where("turn % 5 <> 1").withColumn("bytes", F.when(F.col("turn") % 5 == 2, F.col("bytes") + 1).otherwise(F.col("bytes"))).withColumn("sha256", F.when(F.col("turn") % 5 == 3, F.lit("0")).otherwise(F.col("sha256")))
+    return stores.verify_bundles(refs, found)
+
+
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     """The flagship: state of all entities half way through the feed."""
     return asof_ts(spark, sf_dir)
