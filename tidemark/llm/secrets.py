@@ -43,6 +43,9 @@ LETTERS = re.compile(r"[A-Za-z0-9+/_-]+")
 STANDARD = str.maketrans("-_", "+/")
 #: The shortest finding is ``token=`` with 8 characters; decoding makes no text longer.
 LEAST = 14
+#: Unpacked bytes that are scanned as one text, at most, and how far the next ones overlap them: a finding in a
+#: longer stream, or a layer nested in it, is seen whole if it is no longer than the overlap.
+WINDOW, OVERLAP = 16 << 20, 4 << 20
 #: First bytes of gzip, zlib, zstd, bzip2 and xz streams.
 MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd|BZh[1-9]|\xfd7zXZ\x00")
 
@@ -79,32 +82,84 @@ class Layer:
         return (self.starts[start], self.ends[end - 1]) if start < end else (0, 0)
 
 
-def _decoder(data: memoryview):
-    if data[:2] == b"\x1f\x8b":
-        return zlib.decompressobj(47)
-    if data[:1] == b"x":
-        return zlib.decompressobj()
-    if data[:3] == b"BZh":
-        return bz2.BZ2Decompressor()
-    return lzma.LZMADecompressor() if data[:1] == b"\xfd" else zstandard.ZstdDecompressor().decompressobj()
+def _pieces(data: memoryview) -> Iterator[tuple[bytes, int]]:
+    """Contents of the stream that ``data`` starts with, in pieces of ``WINDOW`` bytes at most, and where in ``data`` it ends (0 until then, -1 if it is cut off)."""
+    if data[:1] == b"\x28":
+        if zstandard.frame_content_size(data) > WINDOW:  # its end isn't told by a reader of pieces
+            with zstandard.ZstdDecompressor().stream_reader(data) as reader:
+                while raw := reader.read(WINDOW):
+                    yield raw, 0
+            yield b"", -1
+            return
+        decoder = zstandard.ZstdDecompressor().decompressobj()
+        yield decoder.decompress(data), 0
+    elif data[:1] in (b"\x1f", b"x"):
+        decoder = zlib.decompressobj(47 if data[:1] == b"\x1f" else 15)
+        raw = decoder.decompress(data, WINDOW)
+        while raw:
+            yield raw, 0
+            raw = b"" if decoder.eof else decoder.decompress(decoder.unconsumed_tail, WINDOW)
+    else:
+        decoder = bz2.BZ2Decompressor() if data[:3] == b"BZh" else lzma.LZMADecompressor()
+        raw = decoder.decompress(data, WINDOW)
+        while raw:
+            yield raw, 0
+            raw = b"" if decoder.eof or decoder.needs_input else decoder.decompress(b"", WINDOW)
+    yield b"", len(data) - len(decoder.unused_data) if decoder.eof else -1
+
+
+def _contents(data: memoryview, ends: list[int]) -> Iterator[bytes]:
+    """Contents of a stream and of gzip members that follow it, in pieces; ``ends`` gets where each whole one ends."""
+    start, some = 0, False
+    try:
+        while start < len(data) and (not some or data[:3] == b"\x1f\x8b\x08" == data[start : start + 3]):
+            for raw, stop in _pieces(data[start:]):
+                if raw:
+                    some = True
+                    yield raw
+            if stop < 0:
+                return
+            start += stop
+            ends.append(start)
+    except (zlib.error, zstandard.ZstdError, OSError, ValueError, EOFError, lzma.LZMAError):
+        return
 
 
 def _streams(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """Start, end and contents of every gzip, zlib, zstd, bzip2 or xz stream in ``data``, also where it is cut off."""
+    """Start, end and contents of every gzip, zlib, zstd, bzip2 or xz stream in ``data``, also where it is cut off.
+
+    Contents over ``WINDOW`` bytes come in pieces that overlap, so memory is bounded
+    whatever a stream unpacks to; such a stream is unpacked once more to find its end.
+    """
     view, at = memoryview(data), 0
     while m := MAGIC.search(data, at):
         at = m.start() + 1
-        raw, end = [], m.start()
-        try:
-            while end < len(data) and (not raw or data[end : end + 3] == b"\x1f\x8b\x08" == m[0]):  # members of gzip follow each other
-                decoder = _decoder(view[end:])
-                raw.append(decoder.decompress(view[end:]))
-                end = len(data) - len(decoder.unused_data) if decoder.eof else len(data)
-                at = end if decoder.eof else at
-        except (zlib.error, zstandard.ZstdError, OSError, ValueError, EOFError, lzma.LZMAError):
+        ends: list[int] = []
+        pieces = _contents(view[m.start() :], ends)
+        head, size = [], 0
+        for raw in pieces:
+            head.append(raw)
+            size += len(raw)
+            if size > WINDOW:
+                break
+        if not size:
+            continue
+        for _ in pieces:  # only where there is more
             pass
-        if any(raw):
-            yield m.start(), end, b"".join(raw)
+        stop = m.start() + ends[-1] if ends else len(data)
+        at = stop if ends else at
+        if size <= WINDOW:
+            yield m.start(), stop, b"".join(head)
+            continue
+        del head
+        kept = b""
+        for raw in _contents(view[m.start() :], []):
+            kept += raw
+            while len(kept) > WINDOW:
+                yield m.start(), stop, kept[:WINDOW]
+                kept = kept[WINDOW - OVERLAP :]
+        if len(kept) > OVERLAP:
+            yield m.start(), stop, kept
 
 
 def _unpacked(raw: bytes, at: tuple[int, int], layer: Layer, part: bool = False) -> Layer:
@@ -252,6 +307,11 @@ def _characters(data: bytes) -> tuple[str, np.ndarray]:
     return BAD.sub(UNKNOWN, text), ends
 
 
+def _inside(layer: Layer) -> Iterator[Layer]:
+    """The layers one step inside a layer."""
+    return (x for x in chain(_url(layer), _unicode(layer), _base64(layer)) if x.text and x.text != layer.text)
+
+
 def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, int]]]:
     """Findings in the plain text, and all findings with the depth of the layer that shows them.
 
@@ -263,10 +323,12 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
     base = find_plain(text)
     depth_of = {f: 0 for f in base}
     cut_off = {}
-    root = Layer(text, _Counting(0), _Counting(1), 0)
-    work, seen = [root], set()
-    while work:
-        layer = work.pop()
+    work, seen = [iter([Layer(text, _Counting(0), _Counting(1), 0)])], set()
+    while work:  # layers are made one at a time
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
         if layer.depth:
             mark = (hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest(), layer.starts[0], layer.ends[len(layer.text) - 1])
             if mark in seen:
@@ -275,7 +337,7 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
             for kind, start, end in find_plain(layer.text):
                 at_end = layer.part and (start == 0 or end == len(layer.text))
                 (cut_off if at_end else depth_of).setdefault((kind, *layer.span(start, end)), layer.depth)
-        work.extend(x for x in chain(_url(layer), _unicode(layer), _base64(layer)) if x.text and x.text != layer.text)
+        work.append(_inside(layer))
     if cut_off:
         reach = {}
         for kind, start, end in depth_of:
