@@ -35,12 +35,32 @@ def downsample(points: DataFrame, bucket_ms: int, by: list[str], flag: str | Non
     )
 
 
-def flag_first_pass(points: DataFrame, by: list[str], window: int = 10, z: float = 3.0, position: str = "seq") -> DataFrame:
-    """``flagged``: how far a value lies from the points before it, ``window`` at most; constant ones flag any other value."""
-    before = W.partitionBy(*by).orderBy("ts", position).rowsBetween(-window, -1)
+def _with_halo(points: DataFrame, by: list[str], window: int, position: str, span_ms: int) -> DataFrame:
+    """Points in stretches of time (``_part``), and before each stretch (``_halo``) the ``window`` points in front of it.
+
+    A stretch has a point at least, so the last points of ``window`` stretches are enough.
+    """
+    at = points.withColumn("_part", F.floor(F.col("ts") / span_ms))
+    latest = W.partitionBy(*by, "_part").orderBy(F.desc("ts"), F.desc(position))
+    ends = at.withColumn("_n", F.row_number().over(latest)).where(F.col("_n") <= window)
+    tails = ends.groupBy(*by, "_part").agg(F.sort_array(F.collect_list(F.struct("ts", position, "value"))).alias("_tail"))  # ``window`` points
+    before = F.flatten(F.collect_list("_tail").over(W.partitionBy(*by).orderBy("_part").rowsBetween(-window, -1)))
+    front = tails.withColumn("_front", before)
+    ghosts = front.select(*by, "_part", F.explode(F.slice("_front", -F.greatest(F.least(F.size("_front"), F.lit(window)), F.lit(1)), F.lit(window))).alias("_g"))
+    halo = ghosts.select(*by, "_part", "_g.*", F.lit(True).alias("_halo"))
+    return at.withColumn("_halo", F.lit(False)).unionByName(halo, allowMissingColumns=True)
+
+
+def flag_first_pass(points: DataFrame, by: list[str], window: int = 10, z: float = 3.0, position: str = "seq", span_ms: int = 86_400_000) -> DataFrame:
+    """``flagged``: how far a value lies from the points before it, ``window`` at most; constant ones flag any other value.
+
+    Only points of a stretch of ``span_ms`` are sorted together, with a halo from before it.
+    """
+    before = W.partitionBy(*by, "_part").orderBy("ts", position).rowsBetween(-window, -1)
     n, mean, std = F.count("value").over(before), F.avg("value").over(before), F.stddev_pop("value").over(before)
     far = F.when(std == 0, F.col("value") != mean).otherwise(F.abs(F.col("value") - mean) > z * std)
-    return points.withColumn("flagged", F.coalesce((n >= min(3, window)) & far, F.lit(False)))
+    flagged = _with_halo(points, by, window, position, span_ms).withColumn("flagged", F.coalesce((n >= min(3, window)) & far, F.lit(False)))
+    return flagged.where("not _halo").select(*points.columns, "flagged")
 
 
 def flag_two_passes(points: DataFrame, by: list[str], window: int = 10, z: float = 3.0, position: str = "seq") -> DataFrame:

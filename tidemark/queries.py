@@ -580,8 +580,7 @@ def _cold_by_number(c: DataFrame) -> DataFrame:
 
 @query(HOT + PLAN + "SELECT * FROM plan WHERE action = 'ship' ORDER BY lane, seq_min, file")
 def ship_order(spark, d):
-    c = chunks(spark, d).withColumn("quarantined", F.col("no") % 7 == 3)
-    return sync.ship_order(sync.ship_plan(c, _acks(c))).drop("sha256")
+    return sync.ship_order(_plan(spark, d)).drop("sha256")
 
 
 @query(HOT + "SELECT DISTINCT no % 9 AS dict_id FROM chunks WHERE no % 9 NOT IN (SELECT no % 9 FROM chunks WHERE no % 2 = 0 AND no < 9)")
