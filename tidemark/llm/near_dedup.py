@@ -262,7 +262,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, k: int = 5, id_col: str =
     Of a class without ids the text of the least hash is kept.  Null texts are no copies
     and all stay, whatever their id.
     """
-    near = _classes(docs, similarity, k, id_col, text_col)
+    near = materialize(_classes(docs, similarity, k, id_col, text_col), "near")  # a join by text alone, which may be split
     first = F.when(F.col("same").isNull(), True).when(F.col("class_id").isNull(), F.col("same") == F.col("least_same")).otherwise(F.expr("doc_id = class_id and doc_id = copy_id"))
     kept = near.where(first).select(reference("doc_id").alias("id"), "same").distinct()
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")).alias("id"), F.unhex(F.md5(F.encode(text_col, "UTF-8"))).alias("same2"))
