@@ -93,6 +93,28 @@ def test_claims(spark):
     assert sorted((r["claim"], r["kind"]) for r in stores.reconcile(out, server).collect()) == [("a", "clean"), ("b", "double"), ("b", "local"), ("x", "remote")]
 
 
+def test_crowded_claims(spark, monkeypatch):
+    """Claims that very many attempts name, unknown, null, known or with several rows, are dealt in shares without another result."""
+    claims = spark.createDataFrame([("hot", 500), ("cold", 500), ("late", -1), ("two", 3), ("two", 30), ("few", 9)], "claim string, expires_at long")
+    names = ["hot"] * 400 + ["none"] * 300 + [None] * 200 + ["late"] * 200 + ["two"] * 90 + ["few"] * 3
+    rows = [(i // 2, name, None if i % 97 == 5 and name == "hot" else i * 7 % 600) for i, name in enumerate(names)]
+    tries = spark.createDataFrame(rows + rows, "attempt long, claim string, used_at long")
+    key = lambda r: tuple(str(x) for x in r)
+    plain = sorted(stores.use_claims(claims, tries, crowd=10**9).collect(), key=key)
+    dealt = stores.use_claims(claims, tries, crowd=20)
+    assert sorted(dealt.collect(), key=key) == plain
+    assert sorted(r["claim"] for r in dealt.where("outcome = 'ok'").collect()) == sorted(r["claim"] for r in plain if r["outcome"] == "ok")
+    assert {r["_claim"]: r["_shares"] for r in stores._crowded(tries, 20).collect()} == {"hot": 40, "none": 30, None: 20, "late": 20, "two": 9}
+    monkeypatch.setattr(stores, "CELLS", 1)  # all claims in one cell
+    assert sorted(stores.use_claims(claims, tries, crowd=20).collect(), key=key) == plain
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        most = max(r["count"] for r in dealt.where("claim = 'none'").groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert most < 400  # no task has all 600 attempts of the unknown claim
+
+
 def test_crc32c(spark):
     assert crc32c_bytes(b"123456789") == 0xE3069283
     assert spark.createDataFrame([(b"123456789",)], "x binary").select(crc32c("x")).first()[0] == 0xE3069283

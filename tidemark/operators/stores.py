@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CLAIM_TTL_MS = 15 * 60 * 1000
+#: Attempts of a claim that are dealt to one task, about, and cells by which claims are counted.
+CROWD, CELLS = 100_000, 1 << 16
 
 
 def put(objects: DataFrame, new: DataFrame, content: str = "content") -> DataFrame:
@@ -64,16 +66,36 @@ def verify_bundles(refs: DataFrame, files: DataFrame) -> DataFrame:
     return both.select("name", wrong.alias("status"))
 
 
-def use_claims(claims: DataFrame, attempts: DataFrame) -> DataFrame:
+def _crowded(attempts: DataFrame, crowd: int) -> DataFrame:
+    """Claims (null too) with more than ``crowd`` attempts: in how many ``_shares`` to deal these, and the ``_first`` in time.
+
+    The driver gets one row for ``crowd`` attempts at most. Counts by cell tell which few claims are counted in full.
+    """
+    cell = F.pmod(F.xxhash64("claim"), F.lit(CELLS))
+    full = attempts.groupBy(cell.alias("_cell")).agg(F.count("*").alias("_n")).where(F.col("_n") > crowd).select("_cell")
+    near = attempts.withColumn("_cell", cell).join(F.broadcast(full), "_cell", "left_semi")
+    counted = near.groupBy(F.col("claim").alias("_claim")).agg(F.count("*").alias("_n"), F.min(F.struct("used_at", "attempt")).alias("_first")).where(F.col("_n") > crowd)
+    found = counted.select("_claim", F.ceil(F.col("_n") / crowd).alias("_shares"), "_first")
+    return attempts.sparkSession.createDataFrame(found.collect(), found.schema)
+
+
+def use_claims(claims: DataFrame, attempts: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Outcome of each attempt: unknown, expired, ok for the first in time, double-use for later ones.
 
-    Attempts of unknown or expired claims aren't counted.
+    Attempts of unknown or expired claims aren't counted. A claim that very many attempts name is dealt
+    in shares, on both sides of the join; the first of a share is ok if it is the first of all, which is
+    counted if any is.
     """
-    both = attempts.join(claims.select("claim", "expires_at"), "claim", "left")
+    crowded = F.broadcast(_crowded(attempts, crowd))
+    same = F.col("claim").eqNullSafe(F.col("_claim"))
+    dealt = attempts.join(crowded, same, "left").withColumn("_share", F.coalesce(F.pmod(F.xxhash64("used_at", "attempt"), F.col("_shares")), F.lit(0)) + 1)
+    known = claims.select("claim", "expires_at").join(crowded, same, "left").select("claim", "expires_at", F.explode(F.sequence(F.lit(1).cast("bigint"), F.coalesce("_shares", F.lit(1)))).alias("_share"))
+    both = dealt.join(known, ["claim", "_share"], "left")
     fate = F.when(F.col("expires_at").isNull(), "unknown").when(F.col("used_at") > F.col("expires_at"), "expired")
     counted = both.withColumn("fate", fate)
-    nth = F.row_number().over(W.partitionBy("claim", F.col("fate").isNull()).orderBy("used_at", "attempt"))
-    return counted.select("attempt", "claim", F.coalesce("fate", F.when(nth == 1, "ok").otherwise("double-use")).alias("outcome"))
+    nth = F.row_number().over(W.partitionBy("claim", "_share", F.col("fate").isNull()).orderBy("used_at", "attempt"))
+    first = (nth == 1) & (F.col("_first").isNull() | F.struct("used_at", "attempt").eqNullSafe(F.col("_first")))
+    return counted.select("attempt", "claim", F.coalesce("fate", F.when(first, "ok").otherwise("double-use")).alias("outcome"))
 
 
 def reconcile(outcomes: DataFrame, server: DataFrame) -> DataFrame:
