@@ -88,8 +88,10 @@ def use_claims(claims: DataFrame, attempts: DataFrame, crowd: int = CROWD) -> Da
     """
     crowded = F.broadcast(_crowded(attempts, crowd))
     same = F.col("claim").eqNullSafe(F.col("_claim"))
-    dealt = attempts.join(crowded, same, "left").withColumn("_share", F.coalesce(F.pmod(F.xxhash64("used_at", "attempt"), F.col("_shares")), F.lit(0)) + 1)
-    known = claims.select("claim", "expires_at").join(crowded, same, "left").select("claim", "expires_at", F.explode(F.sequence(F.lit(1).cast("bigint"), F.coalesce("_shares", F.lit(1)))).alias("_share"))
+    share = F.coalesce(F.pmod(F.xxhash64("used_at", "attempt"), F.col("_shares")), F.lit(0)) + 1
+    dealt = attempts.join(crowded, same, "left").select("attempt", "claim", "used_at", share.alias("_share"))
+    shares = F.explode(F.sequence(F.lit(1).cast("bigint"), F.coalesce("_shares", F.lit(1))))
+    known = claims.select("claim", "expires_at").join(crowded, same, "left").select("claim", "expires_at", "_first", shares.alias("_share"))
     both = dealt.join(known, ["claim", "_share"], "left")
     fate = F.when(F.col("expires_at").isNull(), "unknown").when(F.col("used_at") > F.col("expires_at"), "expired")
     counted = both.withColumn("fate", fate)
