@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars
 from tidemark.functions.checksums import crc32c, crc32c_bytes
 from tidemark.model import ROW
-from tidemark.operators import asof, integrity, normalize, seal, series, stores
+from tidemark.operators import asof, catalog, integrity, normalize, seal, series, stores
 from tidemark.plans.archive import Archive, Conflict
 from tidemark.sources.hot import read_hot
 
@@ -311,6 +311,28 @@ def test_fnv_of_utf16(spark):
     assert [r[0] for r in got] == [fnv(t) for t in texts]
 
 
+def test_bloom_positions(spark):
+    """All hashes of a key in one pass, and one pass over the rows for ranges and filters."""
+
+    def fnv(text):
+        h, units = 2166136261, text.encode("utf-16-le")
+        for i in range(0, len(units), 2):
+            h = ((h ^ int.from_bytes(units[i : i + 2], "little")) * 16777619) & 0xFFFFFFFF
+        return h
+
+    texts = ["", "a", "trx-00000778", "é日x", "a\U0001f600b\U0001f601"]
+    keys = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    got = keys.select("t", scalars.bloom_positions(F.col("t")).alias("p"))
+    want = {t: [(fnv(f"{i}:{t}") ^ fnv(t[::-1])) % 2048 for i in range(3)] for t in texts} | {None: None}
+    assert {r["t"]: r["p"] for r in got.collect()} == want
+    assert got._jdf.queryExecution().toString().split("Optimized Logical Plan")[1].split("Physical Plan")[0].count("aggregate(") == 1
+    held = keys.where("t is not null").select(F.array(*[F.lit(b) for b in want["a"]]).alias("bits"), "t").select("t", scalars.bloom_may_contain(F.col("bits"), F.col("t")).alias("may"))
+    assert {r["t"]: r["may"] for r in held.collect()} == {t: set(want[t]) <= set(want["a"]) for t in texts}
+    rows = [("d", i, 1, k, "t", "b", f) for i, (k, f) in enumerate([("k1", "f1"), ("k2", "f1"), (None, "f2")])]
+    entries = catalog.chunk_entries(spark.createDataFrame(rows, "device_id string, seq long, ts long, id string, table string, body string, file string"), bloom=True)
+    assert {r["file"]: r["bloom"] for r in entries.collect()} == {"f1": sorted({(fnv(f"{i}:{k}") ^ fnv(k[::-1])) % 2048 for i in range(3) for k in ("k1", "k2")}), "f2": []}
+
+
 def test_chunks_are_bounded(spark, archive):
     assert archive.seal(feed_rows(spark, 200), target_bytes=2000)["sealed"] == 200
     got = archive.chunks.collect()

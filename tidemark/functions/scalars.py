@@ -57,32 +57,43 @@ def valid_chunk_name(name: Column) -> Column:
     return F.coalesce(name.rlike(CHUNK_NAME) & ~name.contains("/") & ~name.contains("\\") & ~name.contains(".."), F.lit(False))
 
 
-def fnv1a32(text: Column, basis: int = FNV_BASIS) -> Column:
-    """32-bit FNV-1a over the UTF-16 units of a text."""
+def _fnv_step(h: Column, code: Column) -> Column:
+    """FNV-1a of one more code point: of its UTF-16 units."""
+    mix = lambda h, u: (h.bitwiseXOR(u) * FNV_PRIME).bitwiseAND(F.lit(WORD))
+    high, low = F.shiftright(code - 0x10000, 10) + 0xD800, (code - 0x10000).bitwiseAND(F.lit(0x3FF)) + 0xDC00
+    return F.when(code <= 0xFFFF, mix(h, code)).otherwise(mix(mix(h, high), low))
 
-    def of(i: Column) -> Column:
-        code = F.ascii(F.substring(text, i, F.lit(1))).cast("bigint")
-        high, low = F.shiftright(code - 0x10000, 10) + 0xD800, (code - 0x10000).bitwiseAND(F.lit(0x3FF)) + 0xDC00
-        return F.when(code > 0xFFFF, F.array(high, low)).otherwise(F.array(code))
 
-    units = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text), F.lit(1))), of))
-    step = lambda h, u: (h.bitwiseXOR(u) * FNV_PRIME).bitwiseAND(F.lit(WORD))
-    return F.when(F.char_length(text) == 0, F.lit(basis).cast("bigint")).otherwise(F.aggregate(units, F.lit(basis).cast("bigint"), step))
+def fnv1a32(text: Column, basis: int = FNV_BASIS) -> Column:
+    """32-bit FNV-1a over the UTF-16 units of a text."""
+    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("bigint"))
+    return F.when(F.char_length(text) == 0, F.lit(basis).cast("bigint")).otherwise(F.aggregate(codes, F.lit(basis).cast("bigint"), _fnv_step))
 
 
 BLOOM_BITS, BLOOM_HASHES = 2048, 3
 
 
-def bloom_positions(key: Column) -> list[Column]:
-    """Bits that a key sets in a filter of fixed size: double hashing with FNV of the key and of its reverse."""
-    return [(fnv1a32(F.concat(F.lit(f"{i}:"), key)).bitwiseXOR(fnv1a32(F.reverse(key))) % BLOOM_BITS).cast("int") for i in range(BLOOM_HASHES)]
+def bloom_positions(key: Column) -> Column:
+    """Bits that a key sets in a filter of fixed size, as an array: double hashing with FNV of the key (after a number) and of its reverse.
+
+    All hashes are taken in one pass over the key, each from its state behind the number.
+    """
+    starts = [FNV_BASIS] * (BLOOM_HASHES + 1)  # the last one is of the reverse
+    for i in range(BLOOM_HASHES):
+        for c in f"{i}:":
+            starts[i] = ((starts[i] ^ ord(c)) * FNV_PRIME) & WORD
+    names = [f"h{i}" for i in range(len(starts))]
+    start = F.struct(*[F.lit(s).cast("bigint").alias(n) for n, s in zip(names, starts, strict=True)])
+    chars = F.split(key, "")
+    both = F.zip_with(chars, F.reverse(chars), lambda f, r: F.struct(F.ascii(f).cast("bigint").alias("f"), F.ascii(r).cast("bigint").alias("r")))
+    step = lambda s, c: F.struct(*[_fnv_step(s[n], c["r" if n == names[-1] else "f"]).alias(n) for n in names])
+    bits = lambda s: F.array(*[(s[n].bitwiseXOR(s[names[-1]]) % BLOOM_BITS).cast("int") for n in names[:-1]])
+    return F.when(F.char_length(key) == 0, bits(start)).otherwise(F.aggregate(both, start, step, bits))
 
 
 def bloom_may_contain(bits: Column, key: Column) -> Column:
     """Whether a filter (sorted array of set bits) can hold the key; an unknown or empty filter can hold any."""
-    hit = F.lit(True)
-    for p in bloom_positions(key):
-        hit = hit & F.array_contains(bits, p)
+    hit = F.forall(bloom_positions(key), lambda p: F.array_contains(bits, p))
     return F.coalesce(F.size(bits) <= 0, F.lit(True)) | F.coalesce(hit, F.lit(True))
 
 

@@ -31,7 +31,7 @@ def chunk_entries(rows: DataFrame, bloom: bool = False) -> DataFrame:
     entries = entries.withColumn("month", month_of(F.col("ts_min"))).withColumn("quarantined", F.lit(False))
     if not bloom:
         return entries
-    bits = rows.select("file", F.explode(F.array(*bloom_positions(F.col("id")))).alias("bit")).groupBy("file").agg(F.sort_array(F.collect_set("bit")).alias("bloom"))  # 2048 bits at most
+    bits = rows.select("file", F.explode_outer(bloom_positions(F.col("id"))).alias("bit")).groupBy("file").agg(F.sort_array(F.collect_set("bit")).alias("bloom"))  # 2048 bits at most
     return entries.join(bits, "file")
 
 

@@ -91,7 +91,7 @@ def flag_two_passes(points: DataFrame, by: list[str], window: int = 10, z: float
 
 def anomaly_filter(points: DataFrame, by: list[str]) -> DataFrame:
     """Bits of a Bloom filter over the ids of flagged points, for each group: 2048 at most."""
-    bits = points.where("flagged").select(*by, F.explode(F.array(*bloom_positions(F.col("id")))).alias("bit"))
+    bits = points.where("flagged").select(*by, F.explode_outer(bloom_positions(F.col("id"))).alias("bit"))
     return bits.groupBy(*by).agg(F.sort_array(F.collect_set("bit")).alias("bloom"))
 
 

@@ -206,9 +206,9 @@ def _bloom_bits(key: str) -> str:
 def bloom_probe(spark, d):
     """What the key range and the filter of each chunk say of a key, false positives too."""
     found = catalog.chunk_entries(chunked(hot(spark, d, "event")), bloom=True)
-    both = lookup.candidates(found.drop("bloom"), "trx-00000778").select("file", F.col("hit").alias("in_range"))
-    wide = found.withColumn("min_key", F.lit("")).withColumn("max_key", F.lit("z"))
-    return both.join(lookup.candidates(wide, "trx-00000778").select("file", F.col("hit").alias("in_filter")), "file")
+    ranged = lookup.candidates(found.withColumnRenamed("bloom", "_bloom"), "trx-00000778").withColumnRenamed("hit", "in_range")
+    wide = ranged.withColumn("min_key", F.lit("")).withColumn("max_key", F.lit("z")).withColumnRenamed("_bloom", "bloom")
+    return lookup.candidates(wide, "trx-00000778").select("file", "in_range", F.col("hit").alias("in_filter"))
 
 
 def _asof_sql(column: str, share: float, window: float | None = None) -> str:
